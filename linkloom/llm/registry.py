@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import extraction, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
+        "op6_pack_sequences": packing.op6_pack_sequences,
+        "op9_extract_pages": extraction.op9_extract_pages,
+        "op10_host_quality": quality.op10_host_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL, "op10_host_quality": quality.OP10_SQL}
