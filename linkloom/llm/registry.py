@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, mixing, packing, quality, sharding
+from . import extraction, mixing, neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op6_pack_sequences": packing.op6_pack_sequences,
+        "op8_minhash_neardup": neardup.op8_minhash_neardup,
         "op9_extract_pages": extraction.op9_extract_pages,
         "op10_host_quality": quality.op10_host_quality,
     }
