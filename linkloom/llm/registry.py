@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, mixing, neardup, packing, quality, sharding
+from . import extraction, lines, mixing, neardup, packing, quality, rollup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_token_rollup": rollup.op2_token_rollup,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op6_pack_sequences": packing.op6_pack_sequences,
+        "op7_site_spread_lines": lines.op7_site_spread_lines,
         "op8_minhash_neardup": neardup.op8_minhash_neardup,
         "op9_extract_pages": extraction.op9_extract_pages,
         "op10_host_quality": quality.op10_host_quality,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL, "op10_host_quality": quality.OP10_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL, "op7_site_spread_lines": lines.OP7_SQL, "op10_host_quality": quality.OP10_SQL}
