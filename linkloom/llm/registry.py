@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, lines, mixing, neardup, packing, quality, rollup, sharding
+from . import extraction, lines, mixing, neardup, neighbours, packing, quality, rollup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_rollup": rollup.op2_token_rollup,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
+        "op5_multi_index_neighbours": neighbours.op5_multi_index_neighbours,
         "op6_pack_sequences": packing.op6_pack_sequences,
         "op7_site_spread_lines": lines.op7_site_spread_lines,
         "op8_minhash_neardup": neardup.op8_minhash_neardup,
