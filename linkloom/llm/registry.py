@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, lines, mixing, neardup, neighbours, packing, quality, rollup, sharding
+from . import extraction, lines, mixing, neardup, neighbours, packing, quality, repeats, rollup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_rollup": rollup.op2_token_rollup,
+        "op3_suffix_repeats": repeats.op3_suffix_repeats,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op5_multi_index_neighbours": neighbours.op5_multi_index_neighbours,
         "op6_pack_sequences": packing.op6_pack_sequences,
