@@ -127,7 +127,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word (n >= 1)."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (n - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]++)")), 1)
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import extraction, lines, mixing, neardup, neighbours, packing, quality, repeats, rollup, sharding
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_neardup": neardup.op8_minhash_neardup,
         "op9_extract_pages": extraction.op9_extract_pages,
         "op10_host_quality": quality.op10_host_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
