@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,11 @@ def shingle_sets(lines: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
         at = end
 
 
+def text_key(line: bytes) -> bytes:
+    """128-bit key of a text's words."""
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
 @functools.lru_cache(maxsize=4)
 def universal(count: int, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and addends of universal multiply-shift hashes."""

@@ -4,59 +4,55 @@ Texts of the same words collapse first. Distinct texts get 128 universal hash
 minima, banded 32 by 4. A bucket links its members to its smallest one; links
 are confirmed on full shingle sets, and components follow. Buckets that then
 still hold several components are searched again: members outside the bucket's
-main component are compared, by signature, with the members of others, the best
-partners first and then all that a signature cannot rule out. So no pair above
-the similarity is left untried, and groups of mutual copies never make all
-their pairs.
+main component are held against the members of others, by signature and then on
+full sets, block by block, until the components are linked. So no pair above the
+similarity is left untried, and no group makes all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import WORD, materialize, read
 from .components import connected_components
-from .kernels import normal_words, shingle_sets, signature
+from .kernels import normal_words, shingle_sets, signature, text_key
 
 BANDS, ROWS = 32, 4
 SIZE, PERCENT = 5, 75
 #: Agreeing minima, of 128, below which a pair of similarity 0.75 falls once in
 #: a million: the mean 96 less 4.7 deviations.
 LEAST_AGREE = 73
-#: Members of a bucket that are compared in one task; best partners tried first.
-BLOCK, BEST = 2048, 4
-
-
-def word_key(text: Column) -> Column:
-    """Key of a text's words, A-Z lower-cased; null without words."""
-    line = F.trim(F.regexp_replace(F.translate(text, ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
-    return F.when(line != "", F.md5(line))
+#: Members of a bucket that are compared in one task.
+BLOCK = 1024
+#: Rows of small buckets that are worked in one call.
+SHELF = 4000
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """doc_id, key, n_shingles, sig of every row; sig is null without words."""
+    """doc_id, raw (hash of the text as it is), key (of its words), n_shingles
+    and sig of every row; key and sig are null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            lines = [normal_words(x or b"") for x in part.pop("text")]
             counts, sigs = [], []
-            for found in shingle_sets([normal_words(x or b"") for x in part.pop("text")], size):
+            for found in shingle_sets(lines, size):
                 counts.append(len(found))
                 sigs.append(signature(found, bands * rows) if len(found) else None)
-            yield part.assign(n_shingles=np.array(counts, np.int64), sig=sigs)
+            yield part.assign(key=[text_key(x) if x else None for x in lines], n_shingles=np.array(counts, np.int64), sig=sigs)
 
-    texts = docs.select("doc_id", word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, key string, n_shingles long, sig array<int>")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInPandas(run, f"doc_id {kind}, raw long, key binary, n_shingles long, sig array<int>")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes) of the wanted (node, key, rep): the
+    """node, shingles (sorted 64-bit hashes) of the wanted (node, rep, raw): the
     text of one row of each."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +60,8 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int = SIZE) -> Data
             lines = [normal_words(x) for x in part.pop("text")]
             yield part.assign(shingles=[x.tobytes() for x in shingle_sets(lines, size)])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    found = texts.join(wanted, ["rep", "key"]).select("node", "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
+    found = texts.join(wanted, ["rep", "raw"]).select("node", "text")
     return found.mapInPandas(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -87,51 +83,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return two.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def partners(members: DataFrame, bands: int, rows: int, best: int | None) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components that agree in enough
-    minima: for members outside the main component, with any other; the `best`
-    for each member and bucket, or all. A pair shows only in the first band that
-    it shares.
+def more_links(members: DataFrame, bands: int, rows: int, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between different components of a bucket: members outside
+    the bucket's main component against all others. Signatures rule most pairs
+    out; the rest are counted on the full sets, where they are, until the two
+    components are linked. A pair is looked at in the first band that it shares.
 
-    members: bucket, band, node, lab, main (label), blocks, block, sig.
+    members: bucket, band, node, lab, main (label), blocks, block, sig, shingles.
     """
     least = LEAST_AGREE * bands * rows // (BANDS * ROWS)
 
+    def bucket_links(band: int, asks: pd.DataFrame, gives: pd.DataFrame, out: list[tuple[int, int]]) -> None:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        sigs = np.stack(gives["sig"].to_numpy())
+        nodes, labs = gives["node"].tolist(), gives["lab"].tolist()
+        sets = [np.frombuffer(x, np.uint64) for x in gives["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        for node, lab, sig, raw in zip(asks["node"], asks["lab"], asks["sig"], asks["shingles"]):
+            equal = sigs == np.asarray(sig, np.int32)
+            near = np.flatnonzero(equal.sum(axis=1) >= least)
+            if not len(near):
+                continue
+            near = near[equal[near].reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == band]
+            mine, own = np.frombuffer(raw, np.uint64), find(lab)
+            for k in near[np.argsort(-equal[near].sum(axis=1), kind="stable")].tolist():
+                if find(labs[k]) == own:
+                    continue
+                n = len(mine) + int(sizes[k])
+                if 100 * min(len(mine), int(sizes[k])) < percent * max(len(mine), int(sizes[k])):
+                    continue
+                at = np.minimum(np.searchsorted(sets[k], mine), sizes[k] - 1)
+                both = int((sets[k][at] == mine).sum())
+                if 100 * both >= percent * (n - both):
+                    out.append((node, nodes[k]))
+                    root[own] = find(labs[k])
+                    own = find(lab)
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        ask, give = part[part["asks"]], part[~part["asks"]]
-        us, vs = [], []
-        if len(ask) and len(give):
-            band = int(part["band"].iat[0])
-            sigs = np.stack(give["sig"].to_numpy())
-            nodes, labs = give["node"].to_numpy(), give["lab"].to_numpy()
-            for node, lab, sig in zip(ask["node"], ask["lab"], ask["sig"]):
-                equal = sigs == np.asarray(sig, np.int32)
-                agree = equal.sum(axis=1)
-                at = np.flatnonzero((agree >= least) & (labs != lab))
-                if len(at):
-                    at = at[equal[at].reshape(len(at), bands, rows).all(axis=2).argmax(axis=1) == band]
-                if best is not None and len(at) > best:
-                    at = at[np.argsort(-agree[at], kind="stable")[:best]]
-                us += [node] * len(at)
-                vs += nodes[at].tolist()
-        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+        out: list[tuple[int, int]] = []
+        for _, one in part.groupby(["bucket", "i", "j"], sort=False):
+            asks = one["asks"].to_numpy()
+            if asks.any() and not asks.all():
+                bucket_links(int(one["band"].iat[0]), one[asks], one[~asks], out)
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["bucket", "band", "node", "lab", "sig"]
+    cols = ["bucket", "band", "node", "lab", "sig", "shingles"]
     asks = members.where(F.col("lab") != F.col("main")).select(*cols, F.lit(True).alias("asks"), F.col("block").alias("i"), other.alias("j"))
     gives = members.select(*cols, F.lit(False).alias("asks"), other.alias("i"), F.col("block").alias("j"))
-    pairs = asks.union(gives).groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
+    shelves = max(1, members.count() // SHELF)  # several small buckets to a call
+    pairs = asks.union(gives).withColumn("shelf", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shelves))).groupBy("shelf").applyInPandas(run, "u long, v long")
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def open_buckets(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets of more than two (one pair has been tried) that
+    hold more than one component."""
     named = buckets.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("lab"))
     sizes = named.groupBy("bucket", "lab").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labs"), F.sum("n").alias("n"), F.max_by("lab", F.struct("n", "lab")).alias("main")).where("labs > 1")
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labs"), F.sum("n").alias("n"), F.max_by("lab", F.struct("n", "lab")).alias("main")).where("labs > 1 AND n > 2")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = named.join(mixed.select("bucket", "main", blocks.alias("blocks")), "bucket")
-    return members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(classes.select("node", "sig"), "node")
+    return members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -139,25 +158,22 @@ def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: i
     of every class of texts with the same words."""
     feats = materialize(features(docs, bands, rows, size), "features")
     found = feats.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = found.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(classes.withColumn("node", F.xxhash64("key")), "classes")
+    classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("raw"), "sig", F.xxhash64("key").alias("node")), "classes")
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sig", i * rows + k + 1) for k in range(rows)]) for i in range(bands)]))
     banded = classes.select("node", band.alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("bucket", "pivot")
     buckets = materialize(banded.join(shared, "bucket"), "buckets")
 
-    tried = materialize(buckets.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), "pairs")
-    wanted = classes.select("node", "key", "rep").join(buckets.select("node").distinct(), "node", "left_semi")
+    pairs = buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    wanted = classes.select("node", "rep", "raw").join(buckets.select("node").distinct(), "node", "left_semi")
     sets = materialize(candidate_sets(docs, wanted, size), "sets")
-    links = materialize(confirmed(tried, sets, percent), "links")
+    links = materialize(confirmed(pairs, sets, percent), "links")
     labels = connected_components(links)
-    for best in (BEST, None):
-        members = materialize(open_buckets(buckets, labels, classes), "open")
-        if members.isEmpty():
-            break
-        pairs = materialize(partners(members, bands, rows, best).join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        more = materialize(confirmed(pairs, sets, percent), "links")
+    members = materialize(open_buckets(buckets, labels), "open")
+    if not members.isEmpty():
+        members = members.join(classes.select("node", "sig"), "node").join(sets, "node")
+        more = materialize(more_links(members, bands, rows, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = connected_components(links)
@@ -188,12 +204,12 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near copies, that of the smallest
     doc_id, in the columns of docs. Rows without a doc_id or words stay."""
     feats, placed = components_of(docs)
-    made = "__near_key"
-    kept = feats.join(placed, "key").where("doc_id = component_id").select(F.col("doc_id").alias("__near_id"), F.col("key").alias("__near_class")).distinct()
-    keyed = docs.withColumn(made, word_key(F.col("text")))
-    alone = F.col("doc_id").isNull() | F.col(made).isNull()
-    one = keyed.where(~alone).join(materialize(kept, "kept"), (F.col("doc_id") == F.col("__near_id")) & (F.col(made) == F.col("__near_class")), "left_semi")
-    return one.dropDuplicates(["doc_id"]).drop(made).unionByName(keyed.where(alone).drop(made))
+    kept = feats.join(placed, "key").where("doc_id = component_id").groupBy("doc_id", "key").agg(F.min("raw").alias("raw"))
+    kept = materialize(kept.select(F.col("doc_id").alias("__near_id"), F.col("raw").alias("__near_raw")).distinct(), "kept")
+    keyed = docs.withColumn("__near_text", F.xxhash64("text"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    one = keyed.where(~alone).join(kept, (F.col("doc_id") == F.col("__near_id")) & (F.col("__near_text") == F.col("__near_raw")), "left_semi")
+    return one.dropDuplicates(["doc_id", "__near_text"]).unionByName(keyed.where(alone)).drop("__near_text")
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
