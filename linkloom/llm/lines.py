@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, read
+from .common import WORD, broadcast_if_small, materialize, read
 
 #: A line is boilerplate from so many distinct sites on, if it has so many words.
 MIN_SITES, MIN_WORDS = 5, 3
@@ -22,7 +22,7 @@ LG_K = 8
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def line_key(line: Column) -> list[Column]:
@@ -33,18 +33,17 @@ def line_key(line: Column) -> list[Column]:
 def lines_of(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     """doc_id, site and key of every line with words enough."""
     line = docs.select("doc_id", F.col(site).alias("site"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", trimmed(F.col("line")))
-    long_enough = line.where(F.size(F.split("line", r"[\x20\x09-\x0D]+", min_words)) >= min_words) if min_words > 1 else line.where("line <> ''")
-    return long_enough.select("doc_id", "site", *line_key(F.col("line")))
+    return line.where(F.col("line").rlike(r"[\x20\x09-\x0D]+".join([WORD] * max(1, min_words)))).select("doc_id", "site", *line_key(F.col("line")))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """h, g, keeper of the lines on min_sites distinct sites or more; keeper is
-    the smallest doc_id that has the line. A null site is no site."""
-    found = lines_of(docs, site, min_words)
+    the smallest doc_id that has the line. A null site is no site. found: a
+    written table of lines_of()."""
     sketch = F.hll_sketch_agg(F.col("site").cast("string"), F.lit(lg_k))
     band = max(1, math.ceil(4 * 1.04 / 2 ** (lg_k / 2) * min_sites))
     counted = found.groupBy("h", "g").agg(F.hll_sketch_estimate(sketch).alias("sites"), F.min("doc_id").alias("keeper"))
-    spread = materialize(counted.where(F.col("sites") >= min_sites - band), "lines")
+    spread = materialize(counted.where(F.col("sites") >= min_sites - band), "spread")
     near = broadcast_if_small(spread.where(F.col("sites") < min_sites + band).select("h", "g"), 24)
     exact = found.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.countDistinct("site").alias("exact"))
     sure = spread.where(F.col("sites") >= min_sites + band).select("h", "g", "keeper")
@@ -53,10 +52,12 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, made: str = "__line_") -> DataFrame:
     """docs with text cleaned, and columns n_lines and n_removed under `made`."""
-    lines = materialize(boilerplate(docs, site, min_sites, min_words), "boilerplate")
-    hits = lines_of(docs, site, min_words).join(broadcast_if_small(lines, 32), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    found = materialize(lines_of(docs, site, min_words), "lines")
+    lines = materialize(boilerplate(found, min_sites), "boilerplate")
+    hits = found.join(broadcast_if_small(lines, 32), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     removed = hits.groupBy(F.col("doc_id").alias(f"{made}id")).agg(F.collect_set("h").alias(f"{made}gone"))
-    joined = docs.join(materialize(removed, "removed"), F.col("doc_id").eqNullSafe(F.col(f"{made}id")), "left")
+    # Merged at every size: what is removed grows with the corpus.
+    joined = docs.join(materialize(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{made}id")), "left")
     parts, gone = F.split("text", "\n"), F.col(f"{made}gone")
     stay = F.filter(parts, lambda x: ~F.array_contains(gone, F.xxhash64(trimmed(x))))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
