@@ -1 +1,127 @@
-"""Registered below."""
+"""Scalar functions over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dns as N
+from ..functions import host as H
+from ..functions import text as X
+from . import driver_graph as D
+from .registry import query
+
+_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www\.', '')"
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def host_from_url(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", H.host_of(F.col("url")).alias("host"))
+
+
+@query(f"SELECT page_id, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS apex FROM (SELECT page_id, {_HOST} AS h FROM pages)")
+def naive_apex(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", H.naive_apex(H.host_of(F.col("url"))).alias("apex"))
+
+
+@query(f"SELECT DISTINCT h AS host, CASE WHEN len(string_split(h, '.')) = 2 THEN 'domain' ELSE 'subdomain' END AS kind, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS rd FROM (SELECT {_HOST} AS h FROM pages)")
+def entity_kind(spark, sf):
+    hosts = D.table(spark, sf, "pages").select(H.host_of(F.col("url")).alias("host")).distinct()
+    return hosts.select("host", H.entity_kind(F.col("host")).alias("kind"), H.registrable_domain(F.col("host")).alias("rd"))
+
+
+@query(r"SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[/?#].*$', ''), '^[Ww][Ww][Ww]\.', '')), 'x^', '') AS target FROM pages")
+def cleaned_target(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", H.clean_target(F.col("url")).alias("target"))
+
+
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'),
+ '(?i)</?(p|div|li|ul|ol|tr|table|section|article|header|footer|nav|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, length(t) AS n, sha256(lower(t)) AS h FROM (SELECT page_id, {_PLAIN} AS t FROM pages)")
+def html_text_hash(spark, sf):
+    t = X.html_text(F.col("html"))
+    return D.table(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.sha2(F.lower(t), 256).alias("h"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS title, lower(regexp_extract(html, '(?i)<html[^>]*\blang=[\"'']?([A-Za-z-]+)', 1)) AS lang FROM pages")
+def html_title_lang(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", X.html_title(F.col("html")).alias("title"), X.html_lang(F.col("html")).alias("lang"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), lambda x: lower(x)))), ',') AS emails FROM documents")
+def emails_in_text(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(X.emails_in(F.col("text")), ",").alias("emails"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'), lambda x: len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0))), ',') AS ips FROM documents")
+def ips_in_text(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(X.ips_in(F.col("text")), ",").alias("ips"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\+\d[\d ().-]{6,18}\d'), lambda x: '+' || regexp_replace(x, '\D', '', 'g')) AS l FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: length(x) BETWEEN 8 AND 16 AND NOT regexp_matches(x, '0{7}|1{7}|2{7}|3{7}|4{7}|5{7}|6{7}|7{7}|8{7}|9{7}|01234567|12345678|23456789|98765432|87654321|76543210') AND NOT regexp_matches(x, '^\+1?\d{3}55501\d{2}$')))), ',') AS phones FROM p""")
+def phones_in_text(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(X.phones_in(F.col("text")), ",").alias("phones"))
+
+
+@query("WITH a AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders), i AS (SELECT o_orderkey, n FROM a UNION ALL SELECT o_orderkey, 1745879040 + o_orderkey FROM a WHERE o_orderkey % 50 = 0), nets AS (SELECT unnest(['173.245.48.0/20','103.21.244.0/22','103.22.200.0/22','103.31.4.0/22','141.101.64.0/18','108.162.192.0/18','190.93.240.0/20','188.114.96.0/20','197.234.240.0/22','198.41.128.0/17','162.158.0.0/15','104.16.0.0/13','104.24.0.0/14','172.64.0.0/13','131.0.72.0/22']) AS net), "
+       "r AS (SELECT net, CAST(split_part(net, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(net, '.', 2) AS BIGINT) * 65536 + CAST(split_part(net, '.', 3) AS BIGINT) * 256 AS lo, CAST(pow(2, 32 - CAST(split_part(net, '/', 2) AS INTEGER)) AS BIGINT) AS size FROM nets) SELECT o_orderkey, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, net FROM i JOIN r ON n >= lo AND n < lo + size")
+def cidr_membership(spark, sf):
+    key = F.col("o_orderkey")
+    n = F.explode(F.when(key % 50 == 0, F.array((key * 2654435761) % 4294967296, key + 1745879040)).otherwise(F.array((key * 2654435761) % 4294967296)))
+    rows = D.table(spark, sf, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", H.ip_text(F.col("n")).alias("ip"))
+    return H.in_networks(rows, "ip", H.networks(spark)).select("o_orderkey", "ip", "net")
+
+
+_MAIL = "CASE c_custkey % 6 WHEN 0 THEN 'a@godaddy.com' WHEN 1 THEN 'b@mail.ovh.net' WHEN 2 THEN 'c@whois-agent.test' WHEN 3 THEN 'd@own-site.test' WHEN 4 THEN 'no mail' ELSE 'e@notgodaddy.com' END"
+
+
+@query(f"SELECT c_custkey, {_MAIL} AS mail, c_custkey % 6 IN (0, 1, 2) AS generic FROM customer")
+def generic_email(spark, sf):
+    k = F.col("c_custkey") % 6
+    mail = F.when(k == 0, "a@godaddy.com").when(k == 1, "b@mail.ovh.net").when(k == 2, "c@whois-agent.test").when(k == 3, "d@own-site.test").when(k == 4, "no mail").otherwise("e@notgodaddy.com")
+    return D.table(spark, sf, "customer").select("c_custkey", mail.alias("mail")).withColumn("generic", H.generic_email(F.col("mail")))
+
+
+@query("SELECT s_suppkey, CASE WHEN k IN (0, 1) THEN 'mail' WHEN k IN (2, 3) THEN 'cdn_proxy' WHEN k IN (4, 5) THEN 'shared_hosting' ELSE 'direct' END AS role FROM (SELECT s_suppkey, s_suppkey % 7 AS k FROM supplier)")
+def ip_role(spark, sf):
+    k = F.col("s_suppkey") % 7
+    ptr = F.when(k == 1, "smtp.host.test").when(k == 2, "a.cloudfront.net").when(k == 5, "shared-12.host.test").otherwise("box.own.test")
+    asn = F.when(k == 3, "AS13335").when(k == 4, "2635").otherwise("64512")
+    sources = F.when(k == 0, F.array(F.lit("spf"), F.lit("mx_record"))).otherwise(F.array(F.lit("dns"), F.lit("tls")))
+    return D.table(spark, sf, "supplier").select("s_suppkey", H.ip_role(ptr, asn, sources, F.lit(None).cast("string")).alias("role"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 BETWEEN 1 AND 5 THEN least(p_size % 7, 4) ELSE 0 END AS tier FROM part")
+def tier_from_label(spark, sf):
+    t = (F.col("p_size") % 7).cast("string")
+    labels = F.when((F.col("p_size") % 7).between(1, 5), F.array(F.concat(F.lit("Tier "), t), F.lit("TIER_4"), F.lit("other"))).otherwise(F.array(F.concat(F.lit("tier-"), t)))
+    return D.table(spark, sf, "part").select("p_partkey", F.coalesce(H.tier_from_labels(labels), F.lit(0)).alias("tier"))
+
+
+@query("SELECT c_custkey, v, v = '' OR lower(v) IN ('n/a', 'redacted') OR contains(lower(v), 'whois privacy') AS redacted FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'N/A' WHEN 2 THEN 'The Whois Privacy Co' WHEN 3 THEN 'Redacted' ELSE c_name END AS v FROM customer)")
+def redacted_whois(spark, sf):
+    k = F.col("c_custkey") % 5
+    v = F.when(k == 0, "").when(k == 1, "N/A").when(k == 2, "The Whois Privacy Co").when(k == 3, "Redacted").otherwise(F.col("c_name"))
+    return D.table(spark, sf, "customer").select("c_custkey", v.alias("v")).withColumn("redacted", H.redacted(F.col("v")))
+
+
+_SPF = "'v=spf1 ip4:10.' || c_custkey % 250 || '.0.0/16 include:mail' || c_custkey % 7 || '.test a mx redirect=r.test -all'"
+
+
+@query(f"SELECT c_custkey, '10.' || c_custkey % 250 || '.0.0/16' AS ip4, 'mail' || c_custkey % 7 || '.test' AS includes, 'r.test' AS redirect, '-all' AS policy FROM customer")
+def spf_record(spark, sf):
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("v=spf1 ip4:10."), (k % 250).cast("string"), F.lit(".0.0/16 include:mail"), (k % 7).cast("string"), F.lit(".test a mx redirect=r.test -all"))
+    s = D.table(spark, sf, "customer").select("c_custkey", N.spf(text).alias("s"))
+    return s.select("c_custkey", F.array_join("s.ip4", ",").alias("ip4"), F.array_join("s.includes", ",").alias("includes"), "s.redirect", "s.policy")
+
+
+@query("SELECT c_custkey, 'a' || c_custkey % 9 || '@d.test,b@e.test' AS rua, 'f@g.test' AS ruf, 'reject' AS policy FROM customer")
+def dmarc_record(spark, sf):
+    text = F.concat(F.lit("v=DMARC1; p=reject; rua=mailto:a"), (F.col("c_custkey") % 9).cast("string"), F.lit("@d.test!10m,mailto:b@e.test; ruf=mailto:f@g.test"))
+    s = D.table(spark, sf, "customer").select("c_custkey", N.dmarc(text).alias("s"))
+    return s.select("c_custkey", F.array_join("s.rua", ",").alias("rua"), F.array_join("s.ruf", ",").alias("ruf"), "s.policy")
