@@ -18,6 +18,7 @@ from .common import read
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_CUT = re.compile(r"<[/!a-zA-Z][^>]*\Z")
 _TOKEN = re.compile(r"[a-z]+")
 _EDGE = re.compile(r"^\W+|\W+$")
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -127,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in _BLOCK:
             links = 0
             block = flush(len(name) == 2 and name[0] == "h" and name[1].isdigit())
-    add(page[at:] if not page[at:].lstrip().startswith("<") else "")  # a tag cut off at the end is markup
+    add(_CUT.sub("", page[at:]))  # a tag cut off at the end is markup
     flush(False)
     return out
 
