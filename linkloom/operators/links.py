@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import SELECTOR_WEIGHTS, Config
+from ..constants import SELECTOR_WEIGHTS, SHARED_FLAGS, SHARED_LABELS, Config
 from ..functions import scoring as S
 from ..functions.scoring import CONFIG
 
@@ -22,7 +22,7 @@ def sides(observations: DataFrame, entities: DataFrame, kept: DataFrame) -> Data
     kept: kind, value, degree, attributing."""
     owners = entities.where("rd IS NOT NULL").select(F.col("value").alias("entity"), "rd")
     good = kept.where("attributing").select("kind", "value", "degree")
-    joined = observations.join(good, ["kind", "value"]).join(owners, "entity")
+    joined = observations.drop("rd").join(good, ["kind", "value"]).join(owners, "entity")
     return joined.groupBy("rd", "kind", "value", "degree").agg(F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.count_distinct("entity").alias("n_hosts"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -107,8 +107,6 @@ def network_class(degree: Column, cdn: Column, cfg: Config = CONFIG) -> Column:
 
 def says_shared(flags: Column, labels: Column) -> Column:
     """Enrichment that calls an address shared: any flag of a map, or a label."""
-    from ..constants import SHARED_FLAGS, SHARED_LABELS
-
     flag = F.lit(False)
     for name in SHARED_FLAGS:
         flag = flag | F.coalesce(F.element_at(flags, F.lit(name)), F.lit(False))
