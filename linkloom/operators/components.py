@@ -65,7 +65,7 @@ def paths(links: DataFrame, sources: Column | None = None, cfg: Config = CONFIG)
     links (score down, then name); a target is taken where it is first met, from
     the parent met first; a source ends at `path_nodes` targets."""
     by = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    steps = links.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= cfg.path_frontier).select("a", "b", "score", "pos")
+    steps = written(links.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= cfg.path_frontier).select("a", "b", "score", "pos"), "steps")
     start = steps if sources is None else steps.where(sources)
     hop = F.struct(F.col("a").alias("from"), F.col("b").alias("to"), "score")
     level = start.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("hops"), F.col("score").alias("min_hop_score"), F.array(hop).alias("chain"), F.array(F.col("pos")).alias("found"))
@@ -75,7 +75,7 @@ def paths(links: DataFrame, sources: Column | None = None, cfg: Config = CONFIG)
             "source", F.col("b").alias("target"), F.lit(n).alias("hops"), F.least("min_hop_score", "score").alias("min_hop_score"), F.concat("chain", F.array(hop)).alias("chain"), F.concat("found", F.array("pos")).alias("found")
         )
         first = more.withColumn("n", F.row_number().over(Window.partitionBy("source", "target").orderBy("found"))).where("n = 1").drop("n")
-        level = first.join(seen.select("source", "target"), ["source", "target"], "left_anti")
+        level = written(first.join(seen.select("source", "target"), ["source", "target"], "left_anti"), "level")
         seen = seen.unionByName(level)
     kept = Window.partitionBy("source").orderBy("hops", "found")
     return seen.withColumn("n", F.row_number().over(kept)).where(F.col("n") <= cfg.path_nodes).drop("n", "found")

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from ..constants import SELECTOR_WEIGHTS, SHARED_FLAGS, SHARED_LABELS, Config
 from ..functions import scoring as S
 from ..functions.scoring import CONFIG
+from ..storage import written
 
 TURN = {"a": "b", "b": "a", "a_first": "b_first", "a_last": "b_last", "b_first": "a_first", "b_last": "a_last"}
+#: Ends of the two windows as timestamps, read once per side, before the join.
+TIMES = ("a_from", "a_to", "b_from", "b_to")
+
+
+def timed(side: DataFrame) -> DataFrame:
+    return side.withColumns({"from": S.instant(F.col("first")), "to": S.instant(F.col("last"))})
 
 
 def sides(observations: DataFrame, entities: DataFrame, kept: DataFrame) -> DataFrame:
@@ -23,7 +30,8 @@ def sides(observations: DataFrame, entities: DataFrame, kept: DataFrame) -> Data
     owners = entities.where("rd IS NOT NULL").select(F.col("value").alias("entity"), "rd")
     good = kept.where("attributing").select("kind", "value", "degree")
     joined = observations.drop("rd").join(good, ["kind", "value"]).join(owners, "entity")
-    return joined.groupBy("rd", "kind", "value", "degree").agg(F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.count_distinct("entity").alias("n_hosts"), F.array_sort(F.collect_set("source")).alias("sources"))
+    side = joined.groupBy("rd", "kind", "value", "degree").agg(F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.count_distinct("entity").alias("n_hosts"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return timed(side)
 
 
 def shared(side: DataFrame, a: Column | None = None, b: Column | None = None) -> DataFrame:
@@ -38,19 +46,19 @@ def shared(side: DataFrame, a: Column | None = None, b: Column | None = None) ->
         on = on & (F.col("x.rd") != F.col("y.rd"))
     return left.join(right, on).select(
         F.col("x.rd").alias("a"), F.col("y.rd").alias("b"), "x.kind", "x.value", "x.degree", F.col("x.first").alias("a_first"), F.col("x.last").alias("a_last"), F.col("y.first").alias("b_first"),
-        F.col("y.last").alias("b_last"), F.array_sort(F.array_union("x.sources", "y.sources")).alias("sources"),
+        F.col("y.last").alias("b_last"), F.array_sort(F.array_union("x.sources", "y.sources")).alias("sources"), F.col("x.from").alias("a_from"), F.col("x.to").alias("a_to"), F.col("y.from").alias("b_from"), F.col("y.to").alias("b_to"),
     )
 
 
 def factors(pairs: DataFrame, as_of: str, weights: dict[str, float] | None = None, cfg: Config = CONFIG) -> DataFrame:
     """Evidence rows: base weight, rarity, time_overlap, recency and weight, as
     a reader sees them (rounded); raw_weight before rounding."""
-    af, al, bf, bl = (S.instant(F.col(c)) for c in ("a_first", "a_last", "b_first", "b_last"))
+    af, al, bf, bl = (F.col(c) for c in TIMES)
     base = S.base_weight(F.col("kind"), F.col("value"), weights)
     rare = F.col("__rarity") if "__rarity" in pairs.columns else S.rarity(F.col("degree"), cfg)
     over, fresh = S.overlap(af, al, bf, bl, cfg), S.recency(F.greatest(al, bl), S.instant(F.lit(as_of)), cfg)
     raw = base * rare * over * fresh
-    return pairs.withColumns({"base_weight": base, "rarity": F.round(rare, 3), "time_overlap": F.round(over, 3), "recency": F.round(fresh, 3), "raw_weight": raw, "weight": F.round(raw, 2)}).drop("__rarity")
+    return pairs.withColumns({"base_weight": base, "rarity": F.round(rare, 3), "time_overlap": F.round(over, 3), "recency": F.round(fresh, 3), "raw_weight": raw, "weight": F.round(raw, 2)}).drop("__rarity", *TIMES)
 
 
 def verification_twins(evidence: DataFrame) -> DataFrame:
@@ -79,9 +87,10 @@ def assemble(evidence: DataFrame, min_score: float | None = None) -> DataFrame:
 
 
 def links(observations: DataFrame, entities: DataFrame, kept: DataFrame, as_of: str, weights: dict[str, float] | None = None, min_score: float | None = None, cfg: Config = CONFIG) -> DataFrame:
-    """All links by selectors, both ways."""
-    evidence = factors(shared(sides(observations, entities, kept)), as_of, weights, cfg)
-    return both_ways(assemble(evidence, min_score))
+    """All links by selectors, both ways. The sides are written: the self-join
+    reads them twice."""
+    evidence = factors(shared(written(sides(observations, entities, kept), "sides")), as_of, weights, cfg)
+    return both_ways(written(assemble(evidence, min_score), "links"))
 
 
 def ranked(found: DataFrame, limit: int = 50, min_score: float = 1.0) -> DataFrame:
@@ -97,7 +106,7 @@ def ip_sides(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Per registrable domain and address: window and sources."""
     owners = entities.where("rd IS NOT NULL").select(F.col("value").alias("src"), "rd")
     joined = edges.where("kind = 'resolves_to'").join(owners, "src")
-    return joined.groupBy("rd", F.col("dst").alias("value")).agg(F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return timed(joined.groupBy("rd", F.col("dst").alias("value")).agg(F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.array_sort(F.collect_set("source")).alias("sources")))
 
 
 def network_class(degree: Column, cdn: Column, cfg: Config = CONFIG) -> Column:
@@ -119,5 +128,5 @@ def shared_ips(side: DataFrame, noisy: DataFrame, as_of: str, cfg: Config = CONF
     degrees = side.groupBy("value").agg(F.countDistinct("rd").alias("degree"))
     marked = degrees.join(noisy.select("value").distinct().withColumn("noisy", F.lit(True)), "value", "left")
     origin = marked.where(network_class(F.col("degree"), F.coalesce("noisy", F.lit(False)), cfg) == "origin").where("degree > 1").select("value", "degree")
-    rows = side.join(origin, "value").withColumn("kind", F.lit("shared_ip"))
+    rows = written(side.join(origin, "value").withColumn("kind", F.lit("shared_ip")), "ip-sides")
     return factors(shared(rows), as_of, SELECTOR_WEIGHTS, cfg)

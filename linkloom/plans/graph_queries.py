@@ -10,6 +10,7 @@ from ..functions import scoring as S
 from ..operators import components as C
 from ..operators import graph_build as G
 from ..operators import links as L
+from ..storage import written
 from . import driver_graph as D
 from .registry import query
 
@@ -25,13 +26,13 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_links(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    obs = observations(spark, sf, *(kinds or D.LINK_KINDS))
+    obs = written(observations(spark, sf, *(kinds or D.LINK_KINDS)), "observations")  # read for degrees and for sides
     return L.links(obs, entities(spark, sf), G.selectors(obs), D.AS_OF, D.WEIGHTS)
 
 
 def all_evidence(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    obs = observations(spark, sf, *(kinds or D.LINK_KINDS))
-    return L.factors(L.shared(L.sides(obs, entities(spark, sf), G.selectors(obs))), D.AS_OF, D.WEIGHTS)
+    obs = written(observations(spark, sf, *(kinds or D.LINK_KINDS)), "observations")
+    return L.factors(L.shared(written(L.sides(obs, entities(spark, sf), G.selectors(obs)), "sides")), D.AS_OF, D.WEIGHTS)
 
 
 # ---- build ----
@@ -149,7 +150,7 @@ def links_min_score(spark, sf):
 def link_pair(spark, sf):
     first = D.table(spark, sf, "orders").agg(F.min(F.col("o_custkey").cast("string"))).first()[0]
     obs = observations(spark, sf)
-    pairs = L.shared(L.sides(obs, entities(spark, sf), G.selectors(obs)), F.col("rd") == first, F.lit(True))
+    pairs = L.shared(written(L.sides(obs, entities(spark, sf), G.selectors(obs)), "sides"), F.col("rd") == first, F.lit(True))
     found = L.assemble(L.factors(pairs, D.AS_OF, D.WEIGHTS))
     return found.orderBy(F.desc("score"), "b").limit(1).select("a", "b", "score", "confidence", "strength", "n_shared")
 
@@ -265,8 +266,6 @@ def paths_3hop(spark, sf):
 
 @query(f"{_PATHS}, t AS (SELECT source, target FROM p WHERE hops = 3 ORDER BY source, target LIMIT 1) SELECT p.source, p.target, hops, min_hop_score, chain FROM p JOIN t ON p.source = t.source AND p.target = t.target")
 def path_between(spark, sf):
-    from ..storage import written
-
     found = written(C.paths(all_links(spark, sf, "part_day").select("a", "b", "score")), "paths")
     pair = found.where("hops = 3").orderBy("source", "target").select("source", "target").limit(1).collect()
     a, b = pair[0] if pair else ("", "")
