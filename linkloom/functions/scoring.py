@@ -23,7 +23,7 @@ def instant(text: Column) -> Column:
     text = F.trim(text)
     zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(text) > 10), text)
     plain = F.concat(F.substring(text, 1, 19), F.lit("Z"))
-    day = F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z"))
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z")))
     return F.coalesce(*[x.try_cast("timestamp") for x in (zoned, F.when(F.length(text) > 10, plain), day)])
 
 
