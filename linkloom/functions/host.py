@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +20,13 @@ TWO_LABEL_SUFFIXES = ("ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.
 
 
 def contains_any(text: Column, patterns: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.contains(p)
-    return out
+    """One expression for the whole list, so that plans stay small."""
+    return text.rlike("|".join(re.escape(p) for p in patterns))
 
 
 def under_any(host: Column, suffixes: Sequence[str]) -> Column:
     """The host is one of the suffixes or lies below one."""
-    out = host.isin(*suffixes)
-    for s in suffixes:
-        out = out | host.endswith(f".{s}")
-    return out
+    return host.rlike(rf"(^|\.)({'|'.join(re.escape(s) for s in suffixes)})$")
 
 
 def clean_target(text: Column) -> Column:
