@@ -5,8 +5,10 @@ minima, banded 32 by 4. A bucket links its members to its smallest one; links
 are confirmed on full shingle sets, and components follow. Buckets that then
 still hold several components are searched again: members outside the bucket's
 main component are held against the members of others, by signature and then on
-full sets, block by block, until the components are linked. So no pair above the
-similarity is left untried, and no group makes all its pairs.
+full sets, block by block, until the components are linked. Where that would copy
+large buckets many times, rounds of further centres, each tried with its whole
+bucket, go before it as long as they help. So no pair above the similarity is
+left untried, and no group that is linked makes all its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LEAST_AGREE = 73
 BLOCK = 1024
 #: Rows of small buckets that are worked in one call.
 SHELF = 4000
+#: Copies of a member, on average, above which centres are tried before blocks.
+COPIES = 4
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
@@ -83,13 +87,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return two.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def more_links(members: DataFrame, bands: int, rows: int, percent: int = PERCENT) -> DataFrame:
+def more_links(members: DataFrame, copied: int, bands: int, rows: int, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) between different components of a bucket: members outside
     the bucket's main component against all others. Signatures rule most pairs
     out; the rest are counted on the full sets, where they are, until the two
     components are linked. A pair is looked at in the first band that it shares.
 
-    members: bucket, band, node, lab, main (label), blocks, block, sig, shingles.
+    members: bucket, band, node, lab, main (label), blocks, block, ask_blocks,
+    sig, shingles. copied: the rows that they make here.
     """
     least = LEAST_AGREE * bands * rows // (BANDS * ROWS)
 
@@ -133,11 +138,12 @@ def more_links(members: DataFrame, bands: int, rows: int, percent: int = PERCENT
                 bucket_links(int(one["band"].iat[0]), one[asks], one[~asks], out)
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["bucket", "band", "node", "lab", "sig", "shingles"]
-    asks = members.where(F.col("lab") != F.col("main")).select(*cols, F.lit(True).alias("asks"), F.col("block").alias("i"), other.alias("j"))
-    gives = members.select(*cols, F.lit(False).alias("asks"), other.alias("i"), F.col("block").alias("j"))
-    shelves = max(1, members.count() // SHELF)  # several small buckets to a call
+    # Asking members have blocks of their own, so that a few of them copy the others once.
+    asks = members.where(F.col("lab") != F.col("main")).select(*cols, F.lit(True).alias("asks"), F.pmod(F.xxhash64("node"), F.col("ask_blocks")).cast("int").alias("i"), every("blocks").alias("j"))
+    gives = members.select(*cols, F.lit(False).alias("asks"), every("ask_blocks").alias("i"), F.col("block").alias("j"))
+    shelves = max(1, copied // SHELF)  # several small buckets to a call
     pairs = asks.union(gives).withColumn("shelf", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shelves))).groupBy("shelf").applyInPandas(run, "u long, v long")
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -147,12 +153,30 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     hold more than one component."""
     named = buckets.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("lab"))
     sizes = named.groupBy("bucket", "lab").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labs"), F.sum("n").alias("n"), F.max_by("lab", F.struct("n", "lab")).alias("main")).where("labs > 1 AND n > 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = named.join(mixed.select("bucket", "main", blocks.alias("blocks")), "bucket")
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labs"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("lab", F.struct("n", "lab")).alias("main")).where("labs > 1 AND n > 2")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    members = named.join(mixed.select("bucket", "main", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_main")).alias("ask_blocks")), "bucket")
     return members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def spread(members: DataFrame) -> tuple[int, int]:
+    """Members of open buckets, and the rows that more_links() makes of them."""
+    n, copied = members.agg(F.count(F.lit(1)), F.sum(F.col("ask_blocks") + F.when(F.col("lab") != F.col("main"), F.col("blocks")).otherwise(0))).first()
+    return n, copied or 0
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of two centres of each open bucket, one of its main component
+    and one of the others, with the members of all other components: at most two
+    pairs a member. Each turn takes other centres."""
+    by = F.struct(F.xxhash64("node", F.lit(turn)), "node", "lab")
+    outside = F.col("lab") != F.col("main")
+    centres = members.groupBy("bucket").agg(F.array(F.min(F.when(~outside, by)), F.min(F.when(outside, by))).alias("c")).select("bucket", F.explode("c").alias("c"))
+    centres = centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.lab").alias("own"))
+    pairs = members.join(centres, "bucket").where(F.col("lab") != F.col("own"))
+    return pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+
+
 def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Two written tables: the features of every row, and (key, component_id)
     of every class of texts with the same words."""
@@ -171,9 +195,19 @@ def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: i
     links = materialize(confirmed(pairs, sets, percent), "links")
     labels = connected_components(links)
     members = materialize(open_buckets(buckets, labels), "open")
-    if not members.isEmpty():
+    (n, copied), last, turn = spread(members), None, 0
+    while copied > COPIES * n and (last is None or copied < 0.75 * last):
+        more = materialize(confirmed(star_pairs(members, turn), sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = connected_components(links)
+        members = materialize(open_buckets(buckets, labels), "open")
+        last, turn = copied, turn + 1
+        n, copied = spread(members)
+    if n:
         members = members.join(classes.select("node", "sig"), "node").join(sets, "node")
-        more = materialize(more_links(members, bands, rows, percent), "links")
+        more = materialize(more_links(members, copied, bands, rows, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = connected_components(links)

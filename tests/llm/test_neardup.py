@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from linkloom.llm import components, kernels, neardup
+from pyspark.sql import GroupedData
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -86,6 +87,37 @@ def test_blocks(spark, make, monkeypatch):
     assert run(make, docs) == brute(docs)
 
 
+def test_further_centres(spark, make, monkeypatch):
+    """The same with rounds of further centres before the blocks."""
+    turns, pairs = [], neardup.star_pairs
+    monkeypatch.setattr(neardup, "star_pairs", lambda members, turn: turns.append(turn) or pairs(members, turn))
+    monkeypatch.setattr(neardup, "COPIES", 0)
+    r = random.Random(12)
+    docs = list(enumerate(group(r, 60)))
+    assert run(make, docs) == brute(docs)
+    assert turns
+
+
+def test_few_asking_members_do_not_copy_their_bucket(spark, make, monkeypatch):
+    """A bucket of linked copies with one member that none of them is near
+    enough to goes to its comparison about once, not once for each block."""
+    sent, apply = [], GroupedData.applyInPandas
+
+    def counted(self, *args, **kwargs):
+        sent.append(self._df.count())
+        return apply(self, *args, **kwargs)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    far = base[:41] + [f"f{i}" for i in range(19)]
+    docs = [(i, " ".join(base + [f"c{i}"])) for i in range(90)] + [(500, " ".join(far))]
+    r.shuffle(docs)
+    assert run(make, docs) == brute(docs)
+    assert sent and sum(sent) < 1000  # 5315 rows if the bucket is copied to all its 13 blocks
+
+
 def test_edges(spark, make):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE "), (6, "a b c d e"), (7, "A b\nc d e"), (None, "a b c d e"), (7, "other text of its own here"), (8, "other text of its own here"), (8, "other text of its own here"), (9, "É b"), (10, "é b"), (11, "w " * 20000), (12, "w " * 7)]
     assert run(make, docs) == brute(docs)
