@@ -42,7 +42,7 @@ def test_probing_part_of_the_index(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v.astype(np.float32))]
     want = brute([(i, np.float32(x).tolist()) for i, x in rows])
     got = {}
-    for x in neighbours.search(frame(spark, rows), share=0.1, least=50).collect():
+    for x in neighbours.search(frame(spark, rows), share=0.03).collect():
         got.setdefault(x.query_id, set()).add(x.vec_id)
     hit = sum(len(got[q] & {i for i, _ in want[q]}) for q in want)
     assert hit >= 0.9 * 5 * len(want)
@@ -65,9 +65,46 @@ def test_edges_and_ties(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
-def test_traverse_is_in_order():
+def test_traverse_takes_the_nearest_cells():
     r = np.random.default_rng(1)
-    a, b, sizes = r.random(6), r.random(5), r.integers(0, 3, 30)
-    cells = neighbours.traverse(a, b, sizes, 10**9)
-    sums = [a[c // 5] + b[c % 5] for c in cells]
-    assert sums == sorted(sums) and sorted(cells) == np.flatnonzero(sizes).tolist()
+    for n, m in ((6, 5), (100, 70), (33, 64)):
+        a, b, sizes = r.random(n), r.random(m), r.integers(0, 3, n * m)
+        sums = (a[:, None] + b[None, :]).ravel()
+        filled = np.flatnonzero(sizes)
+        for wanted in (1, 7, int(sizes.sum()) // 10, int(sizes.sum()), 10**9):
+            cells, reach = neighbours.traverse(a, b, sizes, wanted)
+            order = filled[np.argsort(sums[filled])]
+            last = min(int(np.searchsorted(np.cumsum(sizes[order]), wanted)), len(order) - 1)
+            assert sorted(cells) == sorted(order[: last + 1]) and reach == sums[order[last]]
+
+
+def test_recall_without_clusters(spark):
+    """12,000 vectors of no structure, more than there are centroids: a tenth of
+    them is looked at."""
+    v = np.random.default_rng(9).normal(size=(12_000, 48)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    units = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = units[::50] @ units.T
+    scores[np.arange(240), np.arange(0, 12_000, 50)] = -2
+    want = {q * 50: set(np.argsort(-s)[:5].tolist()) for q, s in enumerate(scores)}
+    got = {}
+    for x in neighbours.search(df).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    hit = sum(len(got[q] & w) for q, w in want.items())
+    assert hit >= 0.9 * 5 * len(want), hit
+    exact = {}
+    for x in neighbours.search(df.where("vec_id < 3000"), every=500, share=1.0).collect():
+        exact.setdefault(x.query_id, set()).add(x.vec_id)
+    for q, found in exact.items():
+        s = units[:3000] @ units[q]
+        s[q] = -2
+        assert found == set(np.argsort(-s)[:5].tolist())
+
+
+def test_halves_share_the_variance():
+    r = np.random.default_rng(2)
+    units = r.normal(size=(2000, 10)) * np.array([9, 8, 7, 6, 5, 1, 1, 1, 1, 1])
+    turned = units @ neighbours.rotation(units)
+    log = np.log(turned.var(axis=0))
+    assert abs(log[:5].sum() - log[5:].sum()) < 4  # unturned: over 15
