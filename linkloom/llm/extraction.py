@@ -1,8 +1,11 @@
 """Operator 9: main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides what structure,
+A page is cut into blocks at block-level tags, in one pass whose time grows with
+the page's length alone, whatever the markup. Pass one decides what structure,
 link density, stop-word density and length can decide; pass two gives short and
-unsure blocks the label of their nearest decided neighbour.
+unsure blocks the label of their nearest decided neighbour. Stop words count only
+where they fit the page: text in other scripts, and pages whose long blocks are
+in a language without a list, are judged by length and link density.
 """
 
 from __future__ import annotations
@@ -16,17 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"<>]*"|'[^'<>]*')*+)(>?)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_CUT = re.compile(r"<[/!a-zA-Z][^>]*\Z")
-_TOKEN = re.compile(r"[a-z]+")
+_STOP = re.compile("[>\"']")
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0{4,}"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+_TOKEN, _PART = re.compile(r"[a-z]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_WIDE, _LATIN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff]"), re.compile(r"[A-Za-z\u00c0-\u024f]")
 _EDGE = re.compile(r"^\W+|\W+$")
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup: skipped up to their end tag.
 _RAW = frozenset("script style title textarea noscript iframe template svg math object noframes xmp".split())
+#: Of these, those whose content is text to the page's end if they stay open.
+_TEXT_ONLY = frozenset("script style title textarea xmp noframes iframe".split())
 _BOILER_TAGS = frozenset("nav footer aside form button select option optgroup menu dialog search fieldset label".split())
-_BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent gdpr notice newsletter subscribe subscription signup comment comments disqus reply replies respond share sharing social related recommended popup modal overlay toolbar widget login pagination pager copyright disclaimer skip".split())
+#: Any part of a class or id makes it boilerplate.
+_BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent gdpr newsletter subscribe subscription signup comments disqus modal popup overlay toolbar login pagination pager".split())
+#: These only beside words of layout: "related-posts" is boilerplate, but
+#: "related-work" is not.
+_WEAK_WORDS = frozenset("banner promo promotion notice comment reply replies respond share sharing social related recommended widget copyright disclaimer skip more".split())
+_LAYOUT_WORDS = _WEAK_WORDS | frozenset("area articles bar block body box btn button buttons card cards col column container content entry feed form group header icons inner item items left link links list main media module news outer panel posts reading right row section site stories story text thread title top us wrap wrapper".split())
 _HEADER_WORDS = frozenset(["header", "headers", "topbar"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SCOPES = frozenset(["article", "main"])
@@ -51,33 +63,92 @@ class Block:
         self.parts, self.linked, self.boiler, self.scope, self.heading, self.text, self.label = [], 0, boiler, scope, heading, "", None
 
 
+def _named_boiler(value: str, weak: bool) -> bool:
+    """Whether a class or id value names boilerplate."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in _BOILER_WORDS for p in parts) or weak and any(p in _WEAK_WORDS and p != "more" for p in parts) and all(p in _LAYOUT_WORDS for p in parts):
+            return True
+    return False
+
+
 def _is_boiler(name: str, attrs: str, in_scope: bool) -> bool:
     if name in _BOILER_TAGS or name == "header" and not in_scope:
         return True
     if not attrs or name in ("html", "body", "main"):
         return False
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, raw = key.lower(), value.strip("\"'")
+        value = raw.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id"):
-            words = set(_TOKEN.findall(value))
             if name == "article":
-                words &= {"comment", "comments", "ad", "advert", "sponsored", "related"}
-            if words & _BOILER_WORDS or words & _HEADER_WORDS and not in_scope:
+                if set(_TOKEN.findall(value)) & {"comment", "comments", "ad", "advert", "sponsored"}:
+                    return True
+            elif _named_boiler(raw, True) or not in_scope and set(_TOKEN.findall(value)) & _HEADER_WORDS:
                 return True
     return False
 
 
+class _Page:
+    """Where tags end. Searches that find nothing are not made again, so a page
+    is read once whatever is left open in it."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The end of a tag whose attributes go on at `at`, past quoted values;
+        -1 if it is cut off. A quote that is never closed is a plain character."""
+        while True:
+            if ">" in self.absent or not (m := _STOP.search(self.page, at)):
+                self.absent.add(">")
+                return -1
+            at = m.end()
+            if m[0] == ">":
+                return at
+            close = self.find(m[0], at)
+            if close >= 0:
+                at = close + 1
+
+    def raw_end(self, name: str, at: int) -> int:
+        """The end of an element without markup, or -1."""
+        if name in self.absent:
+            return -1
+        m = re.compile(rf"</{name}\s*+>", re.I).search(self.page, at)
+        if not m:
+            self.absent.add(name)
+        return m.end() if m else -1
+
+
+def _plain(raw: str) -> str:
+    """Character references decoded, white space as one space."""
+    if "&" in raw:
+        if "&#" in raw:
+            raw = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", raw))
+        raw = html.unescape(raw)
+    return " ".join(raw.split())
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, boilerplate, scope
+    opened: dict[str, int] = {}  # how often each name is in the stack
     boiler, scope, links, scopes = False, 0, 0, 0
-    block = Block(False, 0, False)
+    block, ends = Block(False, 0, False), _Page(page)
 
     def flush(heading: bool) -> Block:
-        block.text = " ".join(html.unescape("".join(block.parts)).split())
+        block.text = _plain("".join(block.parts))
         if block.text:
             out.append(block)
         return Block(boiler, scope, heading)
@@ -88,47 +159,61 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 block.linked += len("".join(raw.split()))
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     at = 0
     while (m := _TAG.search(page, at)) is not None:
         add(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
+        at, name, attrs = m.end(), (m[2] or "").lower(), m[3]
         if not name:
             continue
+        if not m[4]:  # quotes that hold markup, or a tag that breaks off
+            end = ends.tag_end(m.end(2))
+            if end < 0:
+                after = page.find("<", at)
+                at = len(page) if after < 0 else after  # markup up to the next tag
+                continue
+            attrs, at = page[m.end(2) : end - 1], end
         if name in ("br", "wbr", "img"):
             block.parts.append(" " if name == "br" else "")
             continue
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                while pop() != name:
+                    pass
             boiler, scope = stack[-1][1:] if stack else (False, 0)
             if name in _BLOCK:
                 links = 0
                 block = flush(False)
             continue
-        if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        closed = attrs.endswith("/")
+        if name in _RAW and not (closed and name in ("svg", "math")):
+            end = ends.raw_end(name, at)
+            at = end if end >= 0 else len(page) if name in _TEXT_ONLY else at
             if name in _BLOCK:
                 block = flush(False)
             continue
         if name == "a":
             links += 1
-        if name not in _VOID and not m[3].endswith("/"):
+        if name not in _VOID and not closed:
             if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
+            inside = opened.get("article", 0) + opened.get("main", 0) > 0
             if name in _SCOPES:
                 scopes += 1
                 scope = scopes
-            boiler = (stack[-1][1] if stack else False) or _is_boiler(name, m[3], any(x[0] in _SCOPES for x in stack))
+            boiler = (stack[-1][1] if stack else False) or _is_boiler(name, attrs, inside)
             stack.append((name, boiler, scope))
+            opened[name] = opened.get(name, 0) + 1
         if name in _BLOCK:
             links = 0
             block = flush(len(name) == 2 and name[0] == "h" and name[1].isdigit())
-    add(_CUT.sub("", page[at:]))  # a tag cut off at the end is markup
+    add(page[at:])
     flush(False)
     return out
 
@@ -139,19 +224,39 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _first_pass(b: Block) -> bool | None:
+def _length(text: str) -> int:
+    """Characters; those of scripts without spaces count twice."""
+    return len(text) + (0 if text.isascii() else len(_WIDE.findall(text)))
+
+
+def _listed_script(text: str) -> bool:
+    """Whether most letters are of the script that the stop words are in."""
+    letters = len(text) if text.isascii() else sum(map(str.isalpha, text))
+    return text.isascii() or 2 * len(_LATIN.findall(text)) >= letters
+
+
+def _first_pass(blocks: list[Block]) -> None:
     """True: main text, False: boilerplate, None: open."""
-    if b.boiler:
-        return False
-    n = len(b.text)
-    if b.linked > MAX_LINKS * max(1, n - b.text.count(" ")):
-        return False
-    if n < MIN_CHARS:
-        return None
-    density = stop_density(b.text)
-    if density >= LOW_STOPS and (density >= HIGH_STOPS or n >= 2 * MIN_CHARS or b.scope):
-        return True
-    return None if b.scope or density >= LOW_STOPS else False
+    dense: list[tuple[Block, int, float]] = []
+    for b in blocks:
+        n = _length(b.text)
+        if b.boiler or b.linked > MAX_LINKS * max(1, len(b.text) - b.text.count(" ")):
+            b.label = False
+        elif n < MIN_CHARS:
+            b.label = None
+        elif not _listed_script(b.text):
+            b.label = True
+        else:
+            dense.append((b, n, stop_density(b.text)))
+    # The lists fit the page if what passes them is at least half of what they judge.
+    fit = 2 * sum(n for _, n, d in dense if d >= LOW_STOPS) >= sum(n for _, n, _ in dense)
+    for b, n, d in dense:
+        if not fit:
+            b.label = True
+        elif d >= LOW_STOPS and (d >= HIGH_STOPS or n >= 2 * MIN_CHARS or b.scope):
+            b.label = True
+        else:
+            b.label = None if b.scope or d >= LOW_STOPS else False
 
 
 def _second_pass(blocks: list[Block]) -> None:
@@ -159,23 +264,33 @@ def _second_pass(blocks: list[Block]) -> None:
     article if it has any; at equal distance the main text wins, and headings
     go with what follows them. An article without decided blocks is main text."""
     first = [b.label for b in blocks]
-    decided: dict[int, list[int]] = {}
-    everywhere = [i for i, x in enumerate(first) if x is not None]
-    for i in everywhere:
-        if not blocks[i].boiler:
-            decided.setdefault(blocks[i].scope, []).append(i)
+    before: list[int | None] = []
+    last: dict[int, int] = {}  # by scope, and -1 for anywhere
+
+    def see(i: int) -> None:
+        if first[i] is not None:
+            last[-1] = i
+            if not blocks[i].boiler:
+                last[blocks[i].scope] = i
+
     for i, b in enumerate(blocks):
+        before.append(last.get(b.scope if b.scope else -1))
+        see(i)
+    last.clear()
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        left, right = before[i], last.get(b.scope if b.scope else -1)
+        see(i)
         if first[i] is not None:
             continue
-        near = decided.get(b.scope) if b.scope else everywhere
-        if not near:
+        if left is None and right is None:
             b.label = bool(b.scope)
-            continue
-        if b.heading and (later := [j for j in near if j > i]):
-            b.label = first[later[0]]
-            continue
-        least = min(abs(j - i) for j in near)
-        b.label = any(first[j] for j in near if abs(j - i) == least)
+        elif left is None or right is not None and (b.heading or right - i < i - left):
+            b.label = first[right]
+        elif right is None or i - left < right - i:
+            b.label = first[left]
+        else:
+            b.label = first[left] or first[right]
 
 
 def main_text(page: str | None) -> str:
@@ -183,12 +298,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    for b in blocks:
-        b.label = _first_pass(b)
+    _first_pass(blocks)
+    long = sum(len(b.text) for b in blocks if b.label and not b.scope)
     _second_pass(blocks)
     good = [b for b in blocks if b.label]
-    if any(b.scope for b in good):  # with an article element, text outside is none of it
-        good = [b for b in good if b.scope]
+    inside = [b for b in good if b.scope]
+    # Text outside article elements is none of it, unless they are several small
+    # ones beside a longer text.
+    if inside and (len({b.scope for b in inside}) == 1 or sum(len(b.text) for b in inside) >= long):
+        good = inside
     return " ".join(b.text for b in good)
 
 

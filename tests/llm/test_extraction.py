@@ -44,3 +44,75 @@ def test_rows(spark):
     got = extraction.extract(df).collect()
     assert sorted((repr(r.page_id), r.n_chars) for r in got) == [("1", len(LONG)), ("1", len(LONG)), ("2", 3000 * len(LONG)), ("None", 0)]
     assert extraction.extract(df.limit(0)).count() == 0
+
+
+RUSSIAN = "Это текст статьи, который продолжается некоторое время и рассказывает о том, как он был написан людьми в городе."
+POLISH = "Tekst ten opowiada o dawnych czasach, kiedy ludzie mieszkali nad rzeką, hodowali owce, piekli chleb oraz budowali drewniane domy."
+CHINESE = "这是一篇文章的正文，它讲述了很久以前住在河边的人们怎样饲养羊群、烤制面包并建造木屋的故事，内容足够长。"
+ARABIC = "هذا نص مقال طويل يتحدث عن الناس الذين عاشوا قرب النهر في زمن بعيد وكيف بنوا بيوتهم من الخشب وخبزوا الخبز."
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, POLISH, CHINESE, ARABIC])
+def test_languages_without_a_list(text):
+    page = f"<nav><a href=x>{text}</a></nav><div><h1>{text[:9]}</h1><p>{text}</p><p>{text} 2</p></div><div><a href=y>{text}</a></div><footer>{text}</footer>"
+    assert extraction.main_text(page) == f"{text[:9]} {text} {text} 2"
+
+
+def test_a_listed_language_keeps_its_rule():
+    junk = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna."
+    assert extraction.main_text(f"<div>{LONG} {LONG}</div><div>{junk}</div>") == f"{LONG} {LONG}"
+    assert extraction.main_text(f"<div>{LONG} {LONG}</div><div>{RUSSIAN}</div>") == f"{LONG} {LONG} {RUSSIAN}"
+
+
+def test_names_of_layout():
+    for name in ("related-work", "commentary", "shared-history", "morePages"):
+        assert extraction.main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG
+    for name in ("related-posts", "comment", "comment-list", "share", "socialLinks", "site-footer", "topNav", "ad", "newsletter-box"):
+        assert extraction.main_text(f"<p>{LONG}</p><div class='{name}'><p>{LONG} 2</p></div>") == LONG
+
+
+def test_article_elements():
+    cards = "".join(f"<article><h3>Card {i}</h3></article>" for i in range(3))
+    assert extraction.main_text(f"<div><p>{LONG}</p></div>{cards}").startswith(LONG)
+    assert extraction.main_text(f"<svg/><p>{LONG}</p><math />") == LONG
+    assert extraction.main_text(f"<svg><p>{LONG}</p>") == LONG
+    assert extraction.main_text(f'<p data-x="<b>&quot;</b>" id=\'a>b\'>{LONG}</p>') == LONG
+    assert extraction.main_text(f"<p>{LONG}&#0000065;&#99999999999;&#{'9' * 6000};&#x{'F' * 9};</p>") == LONG + "A\ufffd\ufffd\ufffd"
+
+
+@pytest.mark.parametrize("page", ["<span>" * 80_000 + "</b>" * 80_000, "<div>" * 200_000, "<a title='" * 100_000, '<a title="x' * 100_000, "<!" * 300_000, "<svg>" * 200_000, "<p>a" * 250_000, "<a href=x" * 100_000, "&#" * 400_000,
+                                  "<p>" + LONG + "</p>" + "<li>x" * 200_000, "<b " + "a=\"<" * 200_000, "</i>" * 250_000, "<i>" * 250_000 + "</div>" * 100])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    extraction.main_text(page)
+    assert time.process_time() - start < 6  # about 1 MB each
+
+
+def test_second_pass_against_brute_force():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(1, 14)):
+            b = extraction.Block(r.random() < 0.2, r.choice([0, 0, 1, 2]), r.random() < 0.2)
+            b.label = False if b.boiler else r.choice([True, False, None, None])
+            blocks.append(b)
+        first = [b.label for b in blocks]
+        want = []
+        for i, b in enumerate(blocks):
+            near = [j for j, x in enumerate(first) if x is not None and (not b.scope or blocks[j].scope == b.scope and not blocks[j].boiler)]
+            later = [j for j in near if j > i]
+            if first[i] is not None:
+                want.append(first[i])
+            elif not near:
+                want.append(bool(b.scope))
+            elif b.heading and later:
+                want.append(first[later[0]])
+            else:
+                least = min(abs(j - i) for j in near)
+                want.append(any(first[j] for j in near if abs(j - i) == least))
+        extraction._second_pass(blocks)
+        assert [b.label for b in blocks] == want
