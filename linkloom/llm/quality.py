@@ -1,8 +1,9 @@
 """Operator 10: quality rules with host-level verdicts.
 
 Each document is measured once; rule failures are summed by host, every host's
-failure rates are shrunk towards an empirical beta prior (moments of the hosts'
-own rates), and hosts whose shrunk rate passes a limit lose all documents.
+failure rates are shrunk towards an empirical beta prior, whose spread is that
+of the hosts' rates less what chance alone gives them, and hosts that are surely
+worse than the prior by a given factor lose all documents.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialize, read
+from .common import WORD, broadcast_if_small, materialize, read, word_count
 
 _WORD = re.compile(WORD)
-_SYMBOL = re.compile(r"[#*$%&|<>]")
 #: Documents of more words than this count their windows with arrays.
 _LONG = 20_000
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
-#: A host goes once a shrunk failure rate is above this.
-HOST_LIMIT = 0.5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+#: A host goes if its shrunk rate of failures, less CERTAINTY standard deviations
+#: of its posterior, is above WORSE times the prior's mean, and above LEAST_RATE.
+WORSE, LEAST_RATE, CERTAINTY = 3.0, 0.2, 2.0
+PRIOR_DOCS = 10
 
 
 def _covered(starts, size: int = 5) -> int:
@@ -53,46 +55,64 @@ def repeated_words(words: list[str]) -> int:
     return _covered(i for i, w in enumerate(windows) if counts[w] > 1)
 
 
-def measure(text: str | None) -> tuple[int, ...]:
-    """(words, their code points, symbols, repeated lines, repeated words, lines)."""
-    if not text:
-        return (0,) * 6
-    words = _WORD.findall(text)
-    lines = [x for x in text.split("\n") if _WORD.search(x)]
-    return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
+def _repeats(text: str) -> F.Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([repeated_words(_WORD.findall(x)) if x else 0 for x in texts], dtype="int64")
 
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")(text)
 
-def _measures(text: str) -> F.Column:
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(x) for x in texts], columns=[c.split()[0] for c in MEASURES.split(", ")], dtype="int64")
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, MEASURES)(text)
+def measures(text: str) -> dict[str, F.Column]:
+    """The measures of a text by name; null counts as empty. Repeated windows
+    alone need Python."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    without = lambda chars: F.length(F.translate(whole, chars, "")).cast("long")
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
+    return {
+        "n_words": word_count(whole),
+        "word_chars": without(" \t\n\x0b\f\r"),
+        "n_symbols": F.length(whole).cast("long") - without("#*$%&|<>"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeats(text),
+        "n_lines": F.size(lines).cast("long"),
+    }
 
 
 def failures(m: str) -> dict[str, F.Column]:
     """The rules: each true where a document fails it."""
-    n, chars, symbols, dups, repeats, lines = (F.col(f"{m}{c.split()[0]}") for c in MEASURES.split(", "))
+    n, chars, symbols, dups, repeats, lines = (F.col(f"{m}{c}") for c in MEASURES)
     return {"short": n < 10, "repeats": 100 * repeats > 20 * n, "symbols": 10 * symbols > n, "dup_lines": 10 * dups > 3 * lines, "lengths": (chars < 2 * n) | (chars > 12 * n)}
 
 
-def host_verdicts(measured: DataFrame, host: str, m: str = "", limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, m: str = "", worse: float = WORSE, least: float = LEAST_RATE, certainty: float = CERTAINTY) -> DataFrame:
     """Hosts to reject, from a written table of measured documents: one row each
-    (host). Rates are shrunk to (failed + a) / (all + a + b), where a beta(a, b)
-    has the mean and variance of the hosts' rates; hosts with no spread get
-    their common rate. A null host is a host of its own."""
+    (host).
+
+    The prior of a rule is beta(a, b) with the mean of the hosts' rates, hosts
+    weighing by their documents, PRIOR_DOCS at most, so that neither the many
+    small ones nor a hot one sets it, and with the spread that is left of their
+    variance without binomial noise: of a rate p of n documents, E(p - mean)^2 =
+    t + (mean (1 - mean) - t) / n, summed by weight and solved for t. Hosts with
+    no more spread than chance gives get their common rate. A host's rate is then
+    (failed + a) / (all + a + b). A null host is a host of its own."""
     rules = list(failures(m))
     hosts = materialize(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in failures(m).items()]), "hosts")
-    moments = hosts.agg(*[f(F.col(k) / F.col("n")).alias(f"{k}_{name}") for k in rules for name, f in (("mean", F.avg), ("var", F.var_pop))]).first()
+    n, w = F.col("n"), F.least("n", F.lit(PRIOR_DOCS))
+    sums = hosts.agg(*[F.sum(c).alias(k) for k, c in {"w": w, "ww": w * w, "w_n": w / n, "ww_n": w * w / n}.items()], *[F.sum(w * (F.col(k) / n) ** e).alias(f"{k}{e}") for k in rules for e in (1, 2)]).first()
     bad = F.lit(False)
-    for k in rules:
-        mean, var = moments[f"{k}_mean"] or 0.0, moments[f"{k}_var"] or 0.0
-        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 0 else 1e6
-        bad = bad | ((F.col(k) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)) > limit)
+    for k in rules if sums["w"] else ():
+        mean = sums[f"{k}1"] / sums["w"]
+        noise = sums["w_n"] - sums["ww_n"] / sums["w"]
+        left = sums["w"] - sums["ww"] / sums["w"] - noise
+        spread = (sums[f"{k}2"] - sums["w"] * mean * mean - mean * (1 - mean) * noise) / left if left > 1e-9 else 0.0
+        weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+        rate = (F.col(k) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+        bad = bad | (rate - certainty * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(weight + 1))) > max(least, worse * mean))
     return hosts.where(bad).select("host")
 
 
-def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", worse: float = WORSE, least: float = LEAST_RATE, certainty: float = CERTAINTY) -> DataFrame:
     """Measures and verdict for each row of docs (doc_id, text, host column).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -103,27 +123,26 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     empty result. Other columns are ignored.
     """
     made = "__q_"
-    measured = docs.select("doc_id", F.col(host).alias(f"{made}host"), _measures("text").alias("m")).select("doc_id", f"{made}host", "m.*")
+    measured = docs.select("doc_id", F.col(host).alias(f"{made}host"), *[c.alias(k) for k, c in measures("text").items()])
     measured = materialize(measured, "quality")
-    return _with_verdict(measured, f"{made}host", "", limit).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "host_rejected", "kept")
+    return _with_verdict(measured, f"{made}host", "", worse, least, certainty).select("doc_id", *MEASURES, "base_failed", "host_rejected", "kept")
 
 
-def _with_verdict(measured: DataFrame, host: str, m: str, limit: float) -> DataFrame:
+def _with_verdict(measured: DataFrame, host: str, m: str, *limits: float) -> DataFrame:
     rules = failures(m)
-    rejected = materialize(host_verdicts(measured, host, m, limit).select(F.col("host").alias(f"{m}__rejected"), F.lit(True).alias(f"{m}host_rejected")), "bad-hosts")
+    rejected = materialize(host_verdicts(measured, host, m, *limits).select(F.col("host").alias(f"{m}__rejected"), F.lit(True).alias(f"{m}host_rejected")), "bad-hosts")
     joined = measured.join(broadcast_if_small(rejected, 256), F.col(host).eqNullSafe(F.col(f"{m}__rejected")), "left").drop(f"{m}__rejected")
     joined = joined.withColumn(f"{m}host_rejected", F.coalesce(F.col(f"{m}host_rejected"), F.lit(False)))
     joined = joined.withColumn(f"{m}base_failed", rules["short"] | rules["repeats"])
     return joined.withColumn(f"{m}kept", ~F.col(f"{m}base_failed") & ~F.col(f"{m}host_rejected"))
 
 
-def kept_documents(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def kept_documents(docs: DataFrame, host: str = "source", worse: float = WORSE, least: float = LEAST_RATE, certainty: float = CERTAINTY) -> DataFrame:
     """The rows of docs that judge() keeps, in their own columns."""
     names, made = docs.columns, "__q_"
-    fields = [c.split()[0] for c in MEASURES.split(", ")]
-    measured = docs.withColumn(f"{made}m", _measures("text")).select(*names, *[F.col(f"{made}m.{c}").alias(f"{made}{c}") for c in fields])
+    measured = docs.select(*names, *[c.alias(f"{made}{k}") for k, c in measures("text").items()])
     measured = materialize(measured, "quality", "zstd")
-    return _with_verdict(measured, host, made, limit).where(F.col(f"{made}kept")).select(*names)
+    return _with_verdict(measured, host, made, worse, least, certainty).where(F.col(f"{made}kept")).select(*names)
 
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +172,16 @@ WITH d AS (
   SELECT source, rule, count(*) AS n, sum(CAST(failed AS INTEGER)) AS bad FROM (
     SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([r1, r2, r3, r4, r5]) AS failed FROM f) GROUP BY source, rule
 ), p AS (
-  SELECT rule, avg(CAST(bad AS DOUBLE) / n) AS mean, var_pop(CAST(bad AS DOUBLE) / n) AS var FROM h GROUP BY rule
+  SELECT rule, sum(w) AS w, sum(w * w) AS ww, sum(w::DOUBLE / n) AS w_n, sum((w * w)::DOUBLE / n) AS ww_n, sum(w * (bad::DOUBLE / n)) AS s1, sum(w * (bad::DOUBLE / n) ^ 2) AS s2 FROM (SELECT *, least(n, 10) AS w FROM h) GROUP BY rule
+), q AS (
+  SELECT *, s1 / w AS mean, w_n - ww_n / w AS noise FROM p
+), t AS (
+  SELECT rule, mean, CASE WHEN w - ww::DOUBLE / w - noise > 1e-9 THEN (s2 - w * mean * mean - mean * (1 - mean) * noise) / (w - ww::DOUBLE / w - noise) ELSE 0 END AS spread FROM q
 ), k AS (
-  SELECT rule, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS weight FROM p
+  SELECT rule, mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1e6) ELSE 1e6 END AS weight FROM t
 ), v AS (
-  SELECT source, bool_or((bad + mean * weight) / (n + weight) > 0.5) AS host_rejected FROM h JOIN k USING (rule) GROUP BY source
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > greatest(0.2::DOUBLE, 3 * mean)) AS host_rejected
+  FROM (SELECT *, (bad + mean * weight) / (n + weight) AS rate FROM h JOIN k USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, r1 OR r2 AS base_failed, host_rejected, NOT (r1 OR r2 OR host_rejected) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

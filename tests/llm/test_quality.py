@@ -1,8 +1,6 @@
 import random
 import re
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from linkloom.llm import quality
 from oracle import duck, rows
 
@@ -21,10 +19,11 @@ def test_sql(spark, sf):
     assert rows(quality.op10_host_quality(spark, sf).toPandas()) == rows(duck(sf, quality.OP10_SQL))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.one_of(st.none(), st.text(alphabet="ab#é \n\t\r\x0b ", max_size=120)))
-def test_measure(text):
-    assert quality.measure(text) == slow(text)
+def test_measures(spark, make):
+    r = random.Random(7)
+    texts = [None, "", " ", "\n", "a\n\na\na \n#", "\x0b\x0c"] + ["".join(r.choice("ab#é𝄞 \n\t\r\x0b\u2003&") for _ in range(r.randint(0, 120))) for _ in range(400)]
+    got = {x.doc_id: tuple(x[c] for c in quality.MEASURES) for x in quality.judge(make([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: slow(t) for i, t in enumerate(texts)}
 
 
 def test_long_texts_count_the_same(monkeypatch):
@@ -59,6 +58,32 @@ def test_shrinking(spark, make):
     assert all(got[i].kept for i in range(500))
 
 
+def test_verdicts_follow_the_prior(spark, make):
+    """Hosts that differ by chance alone all stay, whatever their sizes; a host
+    that is three times worse goes whole, and its good documents with it."""
+    r = random.Random(5)
+    bad = "# * $ % & | < > short words here only some more text of it"
+    even = [(i, bad if r.random() < 0.1 else clean(i), f"h{i % 40}") for i in range(2000)] + [(5000 + i, bad if i < 2 else clean(i), "small") for i in range(3)]
+    assert not any(x.host_rejected for x in quality.judge(make(even)).collect())
+    worse = even + [(9000 + i, bad if i % 2 else clean(i), "worse") for i in range(200)]
+    got = quality.judge(make(worse)).collect()
+    assert {x.doc_id >= 9000 for x in got if x.host_rejected} == {True}
+    fallen = [x for x in got if x.doc_id >= 9000]
+    assert all(x.host_rejected and not x.kept and not x.base_failed for x in fallen) and len(fallen) == 200
+    want = duck_verdict(worse)
+    assert {x.doc_id for x in got if x.host_rejected} == want
+
+
+def duck_verdict(docs):
+    """The SQL's verdict on the same rows."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "source"]))
+    return {i for (i,) in con.execute(f"SELECT doc_id FROM ({quality.OP10_SQL}) WHERE host_rejected").fetchall()}
+
+
 def test_edges(spark, make):
     docs = [(1, None, None), (2, "", "s"), (None, clean(1), None), (3, clean(3), "s"), (3, clean(3), "s"), (4, "x " * 50000, "s")]
     got = quality.judge(make(docs)).collect()
