@@ -98,7 +98,7 @@ def test_small_instances_are_optimal(lengths):
         return False
 
     least = next(n for n in range(1, 10) if fits(sorted(lengths, reverse=True), [20] * n))
-    where, offset = packing.pack(np.array(lengths), 20, 100_000)
+    where, offset = packing.pack(np.array(lengths), 20, None)
     assert len(set(where.tolist())) == least
     assert packing.lower_bound(np.bincount(lengths, minlength=21), 20) <= least
 
@@ -117,3 +117,34 @@ def test_pieces():
     assert packing.pieces_of([1] * 2048) == [(0, 2048)]
     assert packing.pieces_of([1] * 4096) == [(0, 2048), (2048, 2048)]
     assert packing.pieces_of([1] * 2050) == [(0, 2), (2, 2048)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8), st.integers(1, 5))
+def test_fillings_are_the_undominated_ones(lengths, first):
+    """Against all subsets: whatever is not yielded fits into what is."""
+    capacity, largest = 16, max(lengths)
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    rest = sorted(lengths)
+    rest.remove(largest)
+    every = {()}
+    for n in rest:
+        every |= {tuple(sorted((*f, n), reverse=True)) for f in every if sum(f) + n <= capacity - largest}
+    for steps in (None, first):
+        got = list(packing.fillings(sorted(set(lengths)), counts, largest, capacity, capacity, packing.Work(None), steps))
+        assert len(got) == len(set(got)) and set(got) <= every
+        assert all(any(packing._dominated(f, g) for g in got) for f in every)
+
+
+def test_one_size_and_tiny_pieces():
+    where, _ = packing.pack(np.ones(5000, np.int64), 2048)
+    assert len(set(where.tolist())) == 3
+    mixed = np.array([1] * 3000 + [1500] * 9 + [547] * 9)
+    assert len(set(packing.pack(mixed)[0].tolist())) == -(-int(mixed.sum()) // 2048)
+
+
+def test_work_is_the_limit():
+    r = np.random.default_rng(3)
+    lengths = r.integers(600, 800, 3000)
+    few = len(set(packing.pack(lengths, 2048, 0)[0].tolist()))
+    assert few == len(packing.best_fit(sorted(lengths.tolist(), reverse=True), 2048)) >= len(set(packing.pack(lengths)[0].tolist()))
