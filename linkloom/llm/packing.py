@@ -25,7 +25,7 @@ from .tokens import ids_of
 SEQUENCE = 2048
 #: Pieces that are packed together, and the steps of search for each of them;
 #: without a limit (None) a group's packing is optimal.
-GROUP_PIECES, STEPS_PER_PIECE = 20_000, 200
+GROUP_PIECES, STEPS_PER_PIECE = 20_000, 50
 #: Of the first FIRST_STEPS partial fillings, the best are tried before others.
 FIRST_STEPS, FIRST_WAYS = 300, 6
 #: Groups are dealt to so many tasks at most.
@@ -153,7 +153,11 @@ def fillings(sizes: list[int], counts: np.ndarray, largest: int, capacity: int,
     rest = () if done else (x for x in stream if x is not None)
     given: list[tuple[int, ...]] = []
     for _, f in chain(early, rest):
-        if not any(_dominated(f, g) for g in given):
+        for g in given:
+            work.step()
+            if _dominated(f, g):
+                break
+        else:
             given.append(f)
             yield f
 
