@@ -115,6 +115,7 @@ def maximal(sizes: list[int], counts: np.ndarray, largest: int, room: int, slack
         # gap: a left-over size that must not fit in the end
         ended = True
         for i in range(min(top, bisect_right(sizes, room) - 1), -1, -1):
+            work.step()
             n = sizes[i]
             held = int(counts[n]) - (n == largest)
             if held <= 0:
@@ -122,7 +123,6 @@ def maximal(sizes: list[int], counts: np.ndarray, largest: int, room: int, slack
             ended = False
             most = min(held, room // n)
             for k in range(most, 0, -1):
-                work.step()
                 yield None
                 yield from grow(room - k * n, i - 1, gap if k == held else min(gap, n), (*chosen, *(n,) * k))
             gap = min(gap, n)  # not taken: what is left in the end must be less
