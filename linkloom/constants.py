@@ -59,8 +59,11 @@ CDN_NAMES = (
     "qrator", "gcore", "g-core", "medianova", "sucuri", "incapsula", "imperva", "edgecast", "chinacache", "wangsu", "azion", "quantil", "cloudflare", "ddos-guard", "ddosguard", "voxility",
     "myra security", "myracloud", "path network", "reblaze", "1e100.net",
 )
+# Labels of enrichment that mean shared infrastructure.
 SHARED_LABELS = ("cdn", "hosting", "proxy", "vpn", "tor")
+# Flags of enrichment that mean the same.
 SHARED_FLAGS = ("hosting", "proxy", "vpn", "tor", "relay", "anonymous")
+# Networks of the largest content network.
 CDN_NETS = (
     "173.245.48.0/20", "103.21.244.0/22", "103.22.200.0/22", "103.31.4.0/22", "141.101.64.0/18", "108.162.192.0/18", "190.93.240.0/20", "188.114.96.0/20", "197.234.240.0/22", "198.41.128.0/17",
     "162.158.0.0/15", "104.16.0.0/13", "104.24.0.0/14", "172.64.0.0/13", "131.0.72.0/22", "2400:cb00::/32", "2606:4700::/32", "2803:f800::/32", "2405:b500::/32", "2405:8100::/32", "2a06:98c0::/29", "2c0f:f248::/32",
@@ -130,8 +133,18 @@ PATH_WEIGHTS = {
     "well_known.security_contacts": 12, "well_known.assetlinks_packages": 20, "well_known.ads_txt_publishers": 18, "nameserver_analysis.vanity_apexes": 12,
 }
 DEFAULT_PATH_WEIGHT = 5
+# Paths of addresses in a document.
 IP_PATHS = ("non_cf_ips", "dns.A", "hackertarget.hits[*].ip", "urlscan.hits[*].ip", "circl_pdns.records[*].rdata")
+# Paths of certificates in a document.
 CERT_PATHS = ("tls_certs.probes[*].fingerprint_sha256", "tls_certs.probes[*].cn")
 SSH_PATH = "ssh_host_keys.probes[*].fingerprint_sha256"
 DECISIVE_PATHS = ("microsoft_tenant.tenant_guid", "legal_pages.registration_ids", "page_metadata.crypto_wallet_values")
 LABEL_WEIGHT, LABEL_CAP = 8, 40
+# DKIM selectors that mail software sets by default.
+DEFAULT_SELECTORS = (
+    "default", "dkim", "mail", "email", "smtp", "mx", "k1", "k2", "k3", "s1", "s2", "s1024", "s2048", "selector", "selector1", "selector2", "google", "zoho", "mandrill", "sendgrid", "mailjet", "amazonses", "pm", "ctct1",
+    "ctct2", "sig1", "everlytickey1", "everlytickey2",
+)
+# Numbers that templates carry, and wallets that nobody owns.
+PLACEHOLDER_PHONES = ("1234567", "1234567890", "12345678901", "0123456789", "9876543210", "5551234567", "15551234567", "5550100", "15555550100", "447700900000", "447700900123")
+NULL_WALLETS = ("0x0000000000000000000000000000000000000000", "0x000000000000000000000000000000000000dead", "1111111111111111111114olvt2", "1bitcoineateraddressdontsendf59kue")

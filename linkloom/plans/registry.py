@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import graph_queries, identifier_queries, read_queries, scalar_queries, source_queries, stream_queries  # noqa: F401
+    from . import graph_queries, identifier_queries, page_queries, read_queries, scalar_queries, scan_queries, source_queries, stream_queries  # noqa: F401
