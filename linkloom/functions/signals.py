@@ -148,8 +148,12 @@ def txt_tokens(records: Column) -> Column:
     """provider|code of the verification records among TXT values."""
     #: What such records begin with.
     marks = {"google_site_verification": "google-site-verification", "facebook_domain_verification": "facebook-domain-verification", "microsoft": r"\bms", "stripe_verification": "stripe-verification", "apple_domain_verification": "apple-domain-verification", "zoom_verification": "zoom-domain-verification", "atlassian_domain_verification": "atlassian-domain-verification"}
-    each = [F.flatten(F.transform(records, lambda r, p=p, m=m: F.transform(F.regexp_extract_all(r, F.lit(rf"(?i){m}=([A-Za-z0-9._-]+)"), F.lit(1)), lambda x: F.concat(F.lit(f"{p}|"), x)))) for p, m in marks.items()]
-    return F.array_distinct(F.concat(*each))
+
+    def codes(provider: str, mark: str) -> Column:
+        found = F.flatten(F.transform(records, lambda r: F.regexp_extract_all(r, F.lit(rf"(?i){mark}=([A-Za-z0-9._-]+)"), F.lit(1))))
+        return F.transform(found, lambda code: F.concat(F.lit(f"{provider}|"), code))
+
+    return F.array_distinct(F.concat(*[codes(*m) for m in marks.items()]))
 
 
 def granted(asked: Column, used: Column, limit: int) -> Column:

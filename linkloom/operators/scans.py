@@ -217,7 +217,12 @@ def candidate_selectors(docs: DataFrame, sources: Sequence[tuple[str, str, str]]
     """What a search for hosts can ask about, from page fields: each (kind,
     value) once, the first field that has it. docs: run and array columns;
     sources: (field, kind, class) in order."""
-    each = [F.transform(F.filter(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: F.trim(v) != ""), lambda v, i=i, f=f, k=k, c=c: F.struct(F.lit(k).alias("kind"), F.trim(v).alias("value"), F.lit(i).alias("pos"), F.lit(f).alias("field"), F.lit(c).alias("class"))) for i, (f, k, c) in enumerate(sources)]
+
+    def selectors(i: int, field: str, kind: str, group: str) -> Column:
+        held = F.filter(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda v: F.trim(v) != "")
+        return F.transform(held, lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value"), F.lit(i).alias("pos"), F.lit(field).alias("field"), F.lit(group).alias("class")))
+
+    each = [selectors(i, *s) for i, s in enumerate(sources)]
     rows = docs.select("run", F.explode(F.concat(*each)).alias("s")).select("run", "s.*")
     return rows.groupBy("run", "kind", "value").agg(F.min_by(F.struct("field", "class"), "pos").alias("s")).select("run", "kind", "value", "s.field", "s.class")
 

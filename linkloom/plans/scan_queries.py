@@ -18,13 +18,13 @@ def joined(column: str) -> F.Column:
 def items(spark, sf):
     """Line items as sightings: the order is the run, the supplier the address."""
     ip = F.concat(F.lit("10."), (F.col("l_suppkey") % 250).cast("string"), F.lit(".0.1"))
-    return D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") % 2).alias("branch"), F.col("l_linenumber").alias("pos"), ip.alias("ip"), F.col("l_returnflag").alias("source"), "l_suppkey", "l_partkey")
+    return D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") % 2).alias("branch"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("pos"), ip.alias("ip"), F.col("l_returnflag").alias("source"), "l_suppkey", "l_partkey")
 
 
-_ITEMS = "it AS (SELECT l_orderkey AS run, l_linenumber % 2 AS branch, l_linenumber AS pos, '10.' || l_suppkey % 250 || '.0.1' AS ip, l_returnflag AS source, l_suppkey, l_partkey FROM lineitem)"
+_ITEMS = "it AS (SELECT l_orderkey AS run, l_linenumber % 2 AS branch, (l_linenumber, l_partkey, l_suppkey, l_returnflag) AS pos, '10.' || l_suppkey % 250 || '.0.1' AS ip, l_returnflag AS source, l_suppkey, l_partkey FROM lineitem)"
 
 
-@query(f"WITH {_ITEMS}, s AS (SELECT run, ip, source, min((branch, pos)) AS at FROM it GROUP BY ALL), g AS (SELECT run, ip, min(at) AS at, string_agg(source, ',' ORDER BY at) AS sources FROM s GROUP BY ALL) SELECT run, ip, sources, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY at, ip) AS rank FROM g) WHERE rank <= 3")
+@query(f"WITH {_ITEMS}, s AS (SELECT run, ip, source, min((branch, pos)) AS seen FROM it GROUP BY ALL), g AS (SELECT run, ip, min(seen) AS seen, string_agg(source, ',' ORDER BY seen) AS sources FROM s GROUP BY ALL) SELECT run, ip, sources, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seen, ip) AS rank FROM g) WHERE rank <= 3")
 def observed_addresses(spark, sf):
     return X.observed_addresses(items(spark, sf), 3, H.networks(spark)).withColumn("sources", joined("sources"))
 
@@ -309,9 +309,9 @@ def public_addresses(spark, sf):
     return D.table(spark, sf, "customer").select("c_custkey", ip.alias("ip")).withColumn("public", S.public_ip(F.col("ip")))
 
 
-@query("SELECT c_custkey, c_custkey % 3 <> 0 AS comparable, c_custkey % 3 = 1 AS mismatch, CASE WHEN c_custkey % 3 = 1 THEN 'ns2.x.test' ELSE '' END AS registrar_only, CASE WHEN c_custkey % 3 = 1 THEN 'ns' || c_custkey || '.x.test' ELSE '' END AS live_only FROM customer")
+@query("SELECT c_custkey, c_custkey % 3 <> 0 AS comparable, c_custkey % 3 = 1 AS mismatch, CASE WHEN c_custkey % 3 = 1 THEN 'ns2.x.test' ELSE '' END AS registrar_only, CASE WHEN c_custkey % 3 = 1 THEN 'nsown' || c_custkey || '.x.test' ELSE '' END AS live_only FROM customer")
 def delegation_check(spark, sf):
-    k, own = F.col("c_custkey") % 3, F.concat(F.lit("NS"), F.col("c_custkey").cast("string"), F.lit(".x.test."))
+    k, own = F.col("c_custkey") % 3, F.concat(F.lit("NSown"), F.col("c_custkey").cast("string"), F.lit(".x.test."))
     live = F.array(F.lit("ns1.x.test"), own, F.lit("creation"))
     registrar = F.when(k == 1, F.array(F.lit("NS1.X.test"), F.lit("ns2.x.test"))).when(k == 2, live)
     return D.table(spark, sf, "customer").select("c_custkey", S.delegation(live, registrar).alias("d")).select("c_custkey", "d.comparable", "d.mismatch", F.array_join("d.registrar_only", ",").alias("registrar_only"), F.array_join("d.live_only", ",").alias("live_only"))
@@ -350,7 +350,7 @@ def evidence_gates(spark, sf):
     k, even = F.col("c_custkey") % 5, F.col("c_custkey") % 2 == 0
     one = lambda good, bad: F.when(even, good).otherwise(bad)
     path = F.when(k == 0, "email_security.dkim_selectors").when(k == 1, "email_security.dmarc_report_uris").when(k == 2, "tls_certs.probes[*].cn").when(k == 3, "legal_pages.phones").otherwise("page_metadata.crypto_wallet_values")
-    value = F.when(k == 0, one("own2024", "Default")).when(k == 1, one("a@own.test", "rua")).when(k == 2, one("*.own.test", "TRAEFIK DEFAULT CERT")).when(k == 3, one("+49 30 123987", "+1 555 0100")).otherwise(one("ethereum|0xabc", "ethereum|0x000000000000000000000000000000000000dEaD"))
+    value = F.when(k == 0, one("own2024", "Default")).when(k == 1, one("a@own.test", "rua")).when(k == 2, one("*.own.test", "TRAEFIK DEFAULT CERT")).when(k == 3, one("+49 30 123987", "555 01-00")).otherwise(one("ethereum|0xabc", "ethereum|0x000000000000000000000000000000000000dEaD"))
     return D.table(spark, sf, "customer").select("c_custkey", S.evidence_ok(path, value).alias("ok"))
 
 
