@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,16 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own
-    where that is unset (local runs and tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is
+    unset the checkpoint folder of the context. A local master may have one of
+    its own; a cluster without a shared folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
     return context.getCheckpointDir()
 
@@ -32,15 +36,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy", path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, the
     rows are computed once, and lost executors cost a re-read at most."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if a count proves that it fits, else as it is
     (the join then shuffles). df should be a written table: it is counted."""

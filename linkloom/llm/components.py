@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, new_path, remove
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,12 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     its smallest node. Edges may repeat, point either way or be loops; null ends
     are no edges. No edges: an empty table."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, last = materialize(edges, "edges"), None
+    spark, path, last = edges.sparkSession, new_path(edges.sparkSession, "edges"), None
+    edges = materialize(edges, "edges", path=path)
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or now[0] == 0:
             break
-        last = now
-        edges = materialize(_stars(_stars(edges, True), False), "edges")
+        last, old, path = now, path, new_path(spark, "edges")
+        edges = materialize(_stars(_stars(edges, True), False), "edges", path=path)
+        remove(spark, old)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select("v", "v").distinct())
