@@ -31,9 +31,10 @@ def line_key(line: Column) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, site: str, min_words: int) -> DataFrame:
-    """doc_id, site and key of every line with words enough."""
-    line = docs.select("doc_id", F.col(site).alias("site"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", trimmed(F.col("line")))
-    return line.where(F.col("line").rlike(r"[\x20\x09-\x0D]+".join([WORD] * max(1, min_words)))).select("doc_id", "site", *line_key(F.col("line")))
+    """doc_id, whole (hash of the text), site and key of every line with words
+    enough."""
+    line = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.col(site).alias("site"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", trimmed(F.col("line")))
+    return line.where(F.col("line").rlike(r"[\x20\x09-\x0D]+".join([WORD] * max(1, min_words)))).select("doc_id", "whole", "site", *line_key(F.col("line")))
 
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -55,16 +56,18 @@ def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, m
     found = materialize(lines_of(docs, site, min_words), "lines")
     lines = materialize(boilerplate(found, min_sites), "boilerplate")
     hits = found.join(broadcast_if_small(lines, 32), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    removed = hits.groupBy(F.col("doc_id").alias(f"{made}id")).agg(F.collect_set("h").alias(f"{made}gone"))
+    # By id and text: rows that share an id, or have none, are dealt by their texts.
+    removed = hits.groupBy(F.col("doc_id").alias(f"{made}id"), F.col("whole").alias(f"{made}whole")).agg(F.collect_set(F.struct("h", "g")).alias(f"{made}gone"))
     # Merged at every size: what is removed grows with the corpus.
-    joined = docs.join(materialize(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{made}id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{made}id")) & (F.xxhash64("text") == F.col(f"{made}whole"))
+    joined = docs.join(materialize(removed, "removed").hint("merge"), same, "left")
     parts, gone = F.split("text", "\n"), F.col(f"{made}gone")
-    stay = F.filter(parts, lambda x: ~F.array_contains(gone, F.xxhash64(trimmed(x))))
+    stay = F.filter(parts, lambda x: ~F.array_contains(gone, F.struct(*line_key(trimmed(x)))))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     hit = gone.isNotNull() & F.col("text").isNotNull()
     left = joined.withColumn(f"{made}stay", F.when(hit, stay)).withColumn(f"{made}n_lines", n)
     left = left.withColumn(f"{made}n_removed", F.when(hit, n - F.size(f"{made}stay")).otherwise(F.lit(0)).cast("long"))
-    return left.withColumn("text", F.when(hit, F.array_join(f"{made}stay", "\n")).otherwise(F.col("text"))).drop(f"{made}id", f"{made}gone", f"{made}stay")
+    return left.withColumn("text", F.when(hit, F.array_join(f"{made}stay", "\n")).otherwise(F.col("text"))).drop(f"{made}id", f"{made}whole", f"{made}gone", f"{made}stay")
 
 
 def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:

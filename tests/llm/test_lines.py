@@ -37,3 +37,14 @@ def test_edges(spark, make):
     kept = out.collect()
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [1, 2, 3, 3, 5, 8]
     assert all(r.text is None or r.n_chars == len(r.text) for r in kept)
+
+
+def test_rows_without_ids(spark, make):
+    """Rows that share an id, or have none, are cleaned each by its own text; a
+    very long text is worked whole."""
+    long = "\n".join(["a shared long line"] + [f"own line number {k} here" for k in range(40_000)])
+    docs = [(None, f"a shared long line\nown {k}", f"s{k}") for k in range(6)] + [(7, "a shared long line\nx", "s1"), (7, "y\na shared long line", "s2"), (8, long, "s3")]
+    got = sorted(((r.doc_id or -1, r.n_removed, r.text) for r in lines.clean(make(docs)).collect()))
+    assert [g for g in got if g[0] == -1] == [(-1, 1, f"own {k}") for k in range(6)]
+    assert [g for g in got if g[0] == 7] == [(7, 0, "a shared long line\nx"), (7, 0, "y\na shared long line")]
+    assert got[-1] == (8, 1, long.partition("\n")[2])
