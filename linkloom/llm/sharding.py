@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hex_digits, materialize, read
+from .common import materialize, read
 
 #: Rows that one key range of a shard should hold while slots are numbered.
 RANGE_ROWS = 100_000
@@ -31,16 +31,16 @@ def rendezvous(key: Column, weights: Sequence[float], seed: str = "shard") -> Co
     return (-F.greatest(*scores)["n"]).cast("int") if len(scores) > 1 else (-scores[0]["n"]).cast("int")
 
 
-def numbered(df: DataFrame, group: str, key: str, ties: Sequence[str], name: str) -> DataFrame:
-    """df with gapless numbers from 0 within each group, in the order of key (a
-    hexadecimal hash) and ties. Key ranges are counted and prefix-summed, so no
-    task sorts a whole group. df should be a written table."""
-    groups = df.select(group).distinct().count()
-    digits = hex_digits(df.count(), RANGE_ROWS, groups)
-    ranged = df.withColumn("__range", F.substring(key, 1, digits))
+def numbered(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """df with gapless numbers from 0 within each group, by `order`. Rows are
+    dealt to ranges of the whole order, which are counted and prefix-summed, so
+    no task sorts a whole group, nor all rows of one key. df: a written table; the
+    last column of order should differ from row to row."""
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = materialize(df.repartitionByRange(ranges, group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(group, "__range").orderBy(key, *ties)
+    inside = Window.partitionBy(group, "__range").orderBy(*order)
     return ranged.join(starts, [group, "__range"]).withColumn(name, (F.col("__start") + F.row_number().over(inside) - 1).cast("long")).drop("__range", "__start")
 
 
@@ -59,9 +59,9 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     grown = list(grown if grown is not None else [*weights, weights[-1]])
     keyed = docs.select(
         "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), rendezvous(F.col("doc_id"), weights, seed).alias("shard"),
-        rendezvous(F.col("doc_id"), grown, seed).alias("grown_shard"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("__key"),
+        rendezvous(F.col("doc_id"), grown, seed).alias("grown_shard"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("__key"), F.monotonically_increasing_id().alias("__row"),
     )
-    slots = numbered(materialize(keyed, "shards"), "shard", "__key", ["doc_id", "size", "text_crc32"], "slot")
+    slots = numbered(materialize(keyed, "shards"), "shard", ["__key", "doc_id", "size", "text_crc32", "__row"], "slot")
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -36,6 +36,15 @@ def test_key_ranges(spark, make, monkeypatch):
     assert sorted(sharding.shard(docs, [1.0, 1.0]).collect()) == want
 
 
+def test_one_id_on_many_rows(spark, make, monkeypatch):
+    """Rows of one id are numbered by several ranges, equal rows too."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    got = sharding.shard(make([(5, "t" * (i % 7), "s") for i in range(300)] + [(None, "long " * 50_000, "s")]), [1.0] * 4).where("doc_id = 5").collect()
+    first = sorted(got, key=lambda r: r.slot)
+    assert len({r.shard for r in got}) == 1 and [r.size for r in first] == sorted(r.size for r in got)
+    assert {b.slot - a.slot for a, b in zip(first, first[1:])} == {1}
+
+
 def test_edges(spark, make):
     got = sharding.shard(make([(None, None, None), (None, "a", "s"), (7, "t", "s"), (7, "t", "s"), (7, None, "s")]), [1.0] * 3).collect()
     assert len(got) == 5 and len({r.shard for r in got if r.doc_id == 7}) == 1
