@@ -87,16 +87,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return two.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def more_links(members: DataFrame, copied: int, bands: int, rows: int, percent: int = PERCENT) -> DataFrame:
+def more_links(members: DataFrame, copied: int, bands: int, rows: int, percent: int = PERCENT, least_agree: int | None = LEAST_AGREE) -> DataFrame:
     """Links (u, v) between different components of a bucket: members outside
     the bucket's main component against all others. Signatures rule most pairs
     out; the rest are counted on the full sets, where they are, until the two
     components are linked. A pair is looked at in the first band that it shares.
 
     members: bucket, band, node, lab, main (label), blocks, block, ask_blocks,
-    sig, shingles. copied: the rows that they make here.
+    sig, shingles. copied: the rows that they make here. least_agree: of 128
+    minima, how many must agree for a pair to be counted; None counts all pairs.
     """
-    least = LEAST_AGREE * bands * rows // (BANDS * ROWS)
+    least = (least_agree or 0) * bands * rows // (BANDS * ROWS)
 
     def bucket_links(band: int, asks: pd.DataFrame, gives: pd.DataFrame, out: list[tuple[int, int]]) -> None:
         root: dict[int, int] = {}
@@ -177,13 +178,13 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
 
 
-def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT, least_agree: int | None = LEAST_AGREE) -> tuple[DataFrame, DataFrame]:
     """Two written tables: the features of every row, and (key, component_id)
     of every class of texts with the same words."""
     feats = materialize(features(docs, bands, rows, size), "features")
     found = feats.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("sig").alias("sig"))
-    classes = materialize(classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("raw"), "sig", F.xxhash64("key").alias("node")), "classes")
+    classes = materialize(classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("raw"), "sig", F.monotonically_increasing_id().alias("node")), "classes")  # written, so nodes are fixed and no two are the same
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sig", i * rows + k + 1) for k in range(rows)]) for i in range(bands)]))
     banded = classes.select("node", band.alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("bucket", "pivot")
@@ -207,7 +208,7 @@ def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: i
         n, copied = spread(members)
     if n:
         members = members.join(classes.select("node", "sig"), "node").join(sets, "node")
-        more = materialize(more_links(members, copied, bands, rows, percent), "links")
+        more = materialize(more_links(members, copied, bands, rows, percent, least_agree), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = connected_components(links)
@@ -217,8 +218,9 @@ def components_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: i
     return feats, materialize(placed.join(least, "component").select("key", "component_id"), "components")
 
 
-def link(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+def link(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, percent: int = PERCENT, least_agree: int | None = LEAST_AGREE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs. More bands
+    of fewer rows, and least_agree=None, leave less to chance.
 
     A document's set is its distinct shingles of `size` words, A-Z lower-cased;
     documents are linked where 100 * intersection >= percent * union, and
@@ -229,7 +231,7 @@ def link(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE
     kept. Rows that repeat a doc_id are documents of their own, by their texts.
     Empty table: empty result. Other columns are ignored.
     """
-    feats, placed = components_of(docs, bands, rows, size, percent)
+    feats, placed = components_of(docs, bands, rows, size, percent, least_agree)
     rows_out = feats.join(placed, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return rows_out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
