@@ -40,6 +40,20 @@ def test_commits_are_idempotent(spark):
     assert store.committed() == ["a", "b"]
 
 
+def test_folds_and_races(spark):
+    """Folded totals are the unfolded ones; of two writers of a batch one counts."""
+    folder = new_path(spark, "test")
+    store, other = rollup.TokenRollup(spark, folder, fold_after=3), rollup.TokenRollup(spark, folder, fold_after=100)
+    one = spark.createDataFrame([("insert", "s", "en", "v", 5, None)], "kind string, source string, lang string, tokenizer_version string, tokens long, old_tokens long")
+    for n in range(7):
+        assert store.commit(f"b{n}", one) and not other.commit(f"b{n}", one)
+        assert [tuple(r) for r in other.totals().select("n_docs", "n_tokens").collect()] == [(n + 1, 5 * n + 5)]
+    assert len(store._listed("folds")) == 2 and len(store._open()) == 1
+    assert not store._claim("commits", "b3", "late") and store._content("commits", "b3") != "late"
+    assert other.fold() and not other.fold()
+    assert [tuple(r) for r in store.totals().select("n_docs", "n_tokens").collect()] == [(7, 35)]
+
+
 def test_edges(spark, make):
     docs = make([(1, None, "s"), (2, "", None), (3, "x\nx\ny", "s"), (3, "x\nx\ny", "s"), (None, "z", "s")])
     gone = spark.createDataFrame([(1,), (None,)], "doc_id long")
