@@ -198,10 +198,9 @@ def send_grams(rows: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
             for digest, i in block.digests():
                 texts.setdefault(int.from_bytes(digest[:4], "little") % buckets, []).append((digest, i))
             out = []
-            for b in range(buckets):
+            for b in sorted({*bucket_of(distinct, buckets).tolist(), *texts}):
                 grams, mine = short[starts[b] : starts[b + 1]], texts.get(b, [])
-                if len(grams) or mine:
-                    out.append((b, row.block, grams.tobytes(), b"".join(d for d, _ in mine), block.ids[[i for _, i in mine]].tobytes() if mine else b""))
+                out.append((b, row.block, grams.tobytes(), b"".join(d for d, _ in mine), block.ids[[i for _, i in mine]].tobytes() if mine else b""))
             yield pd.DataFrame(out, columns=["bucket", "block", "grams", "digests", "ids"])
 
 
@@ -245,9 +244,8 @@ def send_contexts(blocks: pd.DataFrame, replies: pd.DataFrame, buckets: int) ->
         least = np.array([min(block.ids[i] for i, _ in m) for m in found.values()], np.int64)
         bucket = bucket_of(h, buckets)
         order = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = order[starts[b] : starts[b + 1]]
+        filled, starts = np.unique(bucket[order], return_index=True)
+        for b, mine in zip(filled.tolist(), np.split(order, starts[1:])):
             if len(mine):
                 out.append((b, row.block, mine.astype(np.uint32).tobytes(), (h[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), lens[mine].tobytes(), press.compress(b"".join(texts[k] for k in mine)), least[mine].tobytes()))
     return pd.DataFrame(out, columns=["bucket", "block", "numbers", "owners", "lens", "data", "ids"])
