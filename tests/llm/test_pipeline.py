@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from linkloom.llm import mixing, quality
+from linkloom.llm.common import materialize
 from linkloom.llm.tokens import ids_of
 from test_neardup import brute as near_brute
 
@@ -52,6 +53,55 @@ def test_stages(spark, sf):
     assert len({r.sequence_id for r in packed}) <= -(-tokens // 2048) + 1
 
 
+def pieces(df):
+    return sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+
+
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    """run() is the stages, one after another."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "stage")
+    got = corpus_pipeline.run(spark, sf)
+    rows = got.collect()
+    assert pieces(got) == pieces(docs) and rows
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stage_edges(spark, sf, make):
+    """Nulls in every column, empty and very long texts, repeated rows, ties,
+    clashing columns, and an empty table, through every stage."""
+    plain = lambda k: " ".join(f"word{k}x{j}" for j in range(30))
+    long = " ".join(f"long{j}" for j in range(60_000))
+    rows = [(1, plain(1), "a"), (1, plain(1), "a"), (2, plain(1), "b"), (3, None, "a"), (4, "", None), (None, plain(5), "a"), (None, plain(6), None), (7, long, "c"), (8, "too short", "a"), (None, None, None), (9, plain(9), None)]
+    want = {
+        "quality_rules": [(1, plain(1)), (1, plain(1)), (2, plain(1)), (None, plain(5)), (None, plain(6)), (7, long), (9, plain(9))],
+        "line_dedup": [(1, plain(1)), (1, plain(1)), (2, plain(1)), (None, plain(5)), (None, plain(6)), (7, long), (9, plain(9))],
+        "near_dedup": [(1, plain(1)), (None, plain(5)), (None, plain(6)), (7, long), (9, plain(9))],
+    }
+    docs, order = make(rows), lambda found: sorted(found, key=repr)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, make([]), sf)
+        assert empty.count() == 0
+        docs = materialize(stage(spark, docs, sf), "stage")
+        if name != "best_fit_packing":
+            assert docs.columns == empty.columns == names
+        if name in want:
+            assert order((r.doc_id, r.text) for r in docs.collect()) == order(want[name])
+        if name == "source_mix":
+            before = Counter(w for _, t in want["near_dedup"] for w in WORD.findall(t))
+            taken = Counter(w for r in docs.collect() for w in WORD.findall(r.text))
+            assert taken and set(taken) <= set(before) and max(taken.values()) <= 3
+            mixed = sum(len(ids_of("byte_bpe_50k", r.text)) + 1 for r in docs.collect())
+    assert sum(r.length for r in docs.collect()) == mixed
+    # A stage meets null and empty texts too where the one before leaves them.
+    raw = make(rows)
+    assert len([r for r in corpus_pipeline.line_dedup(spark, raw, sf).collect() if not r.text]) == 3
+    assert len([r for r in corpus_pipeline.near_dedup(spark, raw, sf).collect() if not r.text]) == 3
+    assert corpus_pipeline.best_fit_packing(spark, raw.where("text IS NULL OR text = ''"), sf).count() == 3
