@@ -13,7 +13,7 @@ from .operators import components as C
 from .operators import graph_build as G
 from .operators import links as L
 from .operators import reads as R
-from .storage import written
+from .storage import small, written
 
 
 @dataclass
@@ -90,7 +90,7 @@ class Engine:
     def cluster(self, name: str) -> DataFrame:
         """Members of a domain's cluster."""
         mine = self.labels.where(F.col("rd") == name).select("cluster_id")
-        return self.labels.join(F.broadcast(mine), "cluster_id", "left_semi")
+        return self.labels.join(small(mine), "cluster_id", "left_semi")
 
     @staticmethod
     def evidence_catalog() -> list[dict]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..storage import small
 
 HOSTNAME = r"^(?=.{1,253}$)([a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?\.)+[a-z]([a-z0-9-]{0,61}[a-z0-9])$"
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
@@ -168,9 +169,9 @@ def networks(spark: SparkSession, nets: Sequence[str] = K.CDN_NETS) -> DataFrame
 
 def in_networks(df: DataFrame, ip: str, nets: DataFrame) -> DataFrame:
     """Rows of df whose address lies in one of the (few, fixed) networks, with
-    the network: a range join against a broadcast list."""
+    the network: a range join against a list that is broadcast if it is small."""
     key = ip_key(F.col(ip))
-    return df.join(F.broadcast(nets), (key >= F.col("lo")) & (key <= F.col("hi"))).drop("lo", "hi")
+    return df.join(small(nets), (key >= F.col("lo")) & (key <= F.col("hi"))).drop("lo", "hi")
 
 
 def cidr_hosts(net: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import Config
 from ..functions.scoring import CONFIG
-from ..storage import written
+from ..storage import new_path, remove, written
 
 
 def connector_groups(members: DataFrame, by: list[str], fanout: int | None = CONFIG.cluster_fanout) -> DataFrame:
@@ -17,6 +17,17 @@ def connector_groups(members: DataFrame, by: list[str], fanout: int | None = CON
     return groups if fanout is None else groups.where(F.col("member_count") <= fanout)
 
 
+def browse_groups(members: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """What two domains or more share: selectors (members: rd, kind, value) and
+    addresses that their hosts resolve to. A row for each member of a group, with
+    the group's size (degree); however large a group is, no row holds it whole."""
+    owners = entities.where("rd IS NOT NULL").select(F.col("value").alias("src"), "rd")
+    on_ip = edges.where("kind = 'resolves_to'").join(owners, "src").select("rd", F.lit("shared_ip").alias("kind"), F.col("dst").alias("value"))
+    every = members.select("rd", "kind", "value").unionByName(on_ip).distinct()
+    sizes = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("degree")).where("degree >= 2")
+    return every.join(sizes, ["kind", "value"]).select("kind", "value", "degree", "rd")
+
+
 def star_edges(members: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """(u, v): each member of a group and the group's smallest, not all pairs."""
     return members.join(groups.select(*by, "centre"), by).where("rd <> centre").select(F.col("rd").alias("u"), F.col("centre").alias("v")).distinct()
@@ -27,15 +38,17 @@ def components(edges: DataFrame) -> DataFrame:
     small stars; the component is its smallest node. Each round is written out.
     Loops and null ends are no edges."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, last = written(edges, "stars"), None
+    spark, path, last = edges.sparkSession, new_path(edges.sparkSession, "stars"), None
+    edges = written(edges, "stars", path)
     while (now := edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != last and now[0]:
-        last = now
+        last, old, path = now, path, new_path(spark, "stars")
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         centre = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(centre, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        edges = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", path)
+        remove(spark, old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -63,7 +76,9 @@ def paths(links: DataFrame, sources: Column | None = None, cfg: Config = CONFIG)
 
     links: a, b, score, both ways. A node goes on to its best `path_frontier`
     links (score down, then name); a target is taken where it is first met, from
-    the parent met first; a source ends at `path_nodes` targets."""
+    the parent met first; a source ends at `path_nodes` targets. The order is by
+    hops first, so a source that is full goes no further, and no more than it has
+    room for are kept after each hop."""
     by = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     steps = written(links.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= cfg.path_frontier).select("a", "b", "score", "pos"), "steps")
     start = steps if sources is None else steps.where(sources)
@@ -75,7 +90,10 @@ def paths(links: DataFrame, sources: Column | None = None, cfg: Config = CONFIG)
             "source", F.col("b").alias("target"), F.lit(n).alias("hops"), F.least("min_hop_score", "score").alias("min_hop_score"), F.concat("chain", F.array(hop)).alias("chain"), F.concat("found", F.array("pos")).alias("found")
         )
         first = more.withColumn("n", F.row_number().over(Window.partitionBy("source", "target").orderBy("found"))).where("n = 1").drop("n")
-        level = written(first.join(seen.select("source", "target"), ["source", "target"], "left_anti"), "level")
+        fresh = first.join(seen.select("source", "target"), ["source", "target"], "left_anti")
+        room = seen.groupBy("source").agg((F.lit(cfg.path_nodes) - F.count(F.lit(1))).alias("room"))
+        kept = fresh.join(room, "source").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("found"))).where("n <= room").drop("n", "room")
+        level = written(kept, "level")
         seen = seen.unionByName(level)
     kept = Window.partitionBy("source").orderBy("hops", "found")
     return seen.withColumn("n", F.row_number().over(kept)).where(F.col("n") <= cfg.path_nodes).drop("n", "found")

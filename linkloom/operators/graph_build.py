@@ -38,7 +38,7 @@ def widened(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def selector_degrees(observations: DataFrame, selectors: DataFrame | None = None) -> DataFrame:
     """Distinct entities per selector; 0 for listed selectors without any."""
-    degrees = observations.groupBy("kind", "value").agg(F.countDistinct("entity").alias("degree"))
+    degrees = observations.select("entity", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("entity").alias("degree"))
     if selectors is None:
         return degrees
     return selectors.select("kind", "value").distinct().join(degrees, ["kind", "value"], "left").fillna(0, ["degree"])

@@ -23,19 +23,20 @@ def frequency(identifiers: DataFrame) -> DataFrame:
 
 
 def identifier_score(tier: Column, category: Column, multiplier: Column, bonus: Column | None = None) -> Column:
-    base = one_of(tier, {k: float(v) for k, v in K.TIER_SCORES.items()}, F.lit(14.0)) + one_of(category, {k: float(v) for k, v in K.CATEGORY_SCORES.items()}, F.lit(0.0))
+    base = one_of(tier, {k: float(v) for k, v in K.TIER_SCORES.items()}, F.lit(12.0)) + one_of(category, {k: float(v) for k, v in K.CATEGORY_SCORES.items()}, F.lit(0.0))
     base = base if bonus is None else base + bonus
     held = F.least(F.lit(100.0), F.greatest(F.lit(1.0), base))
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), held * multiplier))
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(held * multiplier, 0)))
 
 
 def score_label(score: Column) -> Column:
-    return F.when(score >= 85, "very high").when(score >= 60, "high").when(score >= 30, "medium").otherwise("low")
+    return F.when(score >= 85, "high").when(score >= 60, "medium").when(score >= 30, "low").otherwise("very_low")
 
 
-def compare(identifiers: DataFrame, freq: DataFrame) -> DataFrame:
-    """Pairs of domains (a < b) that share identifiers not excluded: the sum of
-    their scores, with bonuses for different kinds and tiers, 100 at most.
+def shared_points(identifiers: DataFrame, freq: DataFrame, timing: DataFrame | None = None) -> DataFrame:
+    """Evidence of pairs of domains (a < b): a, b, tier, category, points for
+    each shared identifier that is not excluded, and for certificates issued close
+    together (timing: of issuance_timing()).
 
     identifiers: domain, type, tier, category, value. Values over the limit of
     their category go before the join, which bounds its groups."""
@@ -43,6 +44,25 @@ def compare(identifiers: DataFrame, freq: DataFrame) -> DataFrame:
     rows = identifiers.select("domain", "type", "tier", "category", "value").distinct().join(kept, ["type", "value"])
     x, y = rows.alias("x"), rows.select(F.col("domain").alias("b"), "type", "value").alias("y")
     shared = x.join(y, ["type", "value"]).where("domain < b").select(F.col("domain").alias("a"), "b", "tier", "category", identifier_score(F.col("tier"), F.col("category"), F.col("multiplier")).alias("points"))
+    if timing is None:
+        return shared
+    near = F.col("within") == "24h"
+    tier, tls_ct = F.when(near, "tier_3").otherwise("tier_4"), F.lit("tls_ct")
+    points = identifier_score(tier, tls_ct, F.lit(1.0), F.when(near, 6).otherwise(2))
+    return shared.unionByName(timing.select("a", "b", tier.alias("tier"), tls_ct.alias("category"), points.alias("points")))
+
+
+def tier_sums(points: DataFrame) -> DataFrame:
+    """Per pair and tier: the sum of the points, 100 at most, its label, and the
+    number of pieces of evidence. points: of shared_points()."""
+    sums = points.groupBy("a", "b", "tier").agg(F.least(F.lit(100.0), F.sum("points")).alias("score"), F.count(F.lit(1)).alias("n_evidence"))
+    return sums.withColumn("score", F.round("score", 2)).withColumn("label", score_label(F.col("score")))
+
+
+def compare(identifiers: DataFrame, freq: DataFrame, timing: DataFrame | None = None) -> DataFrame:
+    """Pairs of domains with what they share: the sum of all points, with bonuses
+    for different kinds and tiers, 100 at most."""
+    shared = shared_points(identifiers, freq, timing)
     pairs = shared.groupBy("a", "b").agg(F.sum("points").alias("total"), F.countDistinct("tier", "category").alias("kinds"), F.countDistinct("tier").alias("tiers"), F.count(F.lit(1)).alias("n_shared"))
     score = F.least(F.lit(100.0), F.col("total") + 4 * (F.col("kinds") - 1) + 6 * (F.col("tiers") - 1))
     return pairs.select("a", "b", "n_shared", F.round(score, 2).alias("score")).withColumn("label", score_label(F.col("score")))
@@ -50,18 +70,19 @@ def compare(identifiers: DataFrame, freq: DataFrame) -> DataFrame:
 
 def issuance_timing(certs: DataFrame, day_limit: int = 7) -> DataFrame:
     """Pairs of domains with certificates of one issuer issued close together
-    (not at once): the closest pair per two domains and issuer.
+    (not at once): the closest pair per two domains and issuer, of those within
+    a day and of those further apart each.
 
-    certs: domain, issuer, issued (timestamp). Certificates meet by day and
-    neighbouring day bucket, so a large issuer's pairs stay bounded in time."""
+    certs: domain, issuer, issued (timestamp). Certificates meet by bucket and
+    neighbouring bucket of day_limit days, so pairs stay bounded in time."""
     width = day_limit * 86_400
     t = F.unix_timestamp("issued")
     left = certs.select(F.col("domain").alias("a"), "issuer", t.alias("ta"), F.floor(t / width).alias("bucket"))
     right = certs.select(F.col("domain").alias("b"), "issuer", t.alias("tb"), F.explode(F.array(F.floor(t / width) - 1, F.floor(t / width), F.floor(t / width) + 1)).alias("bucket"))
     gap = F.abs(F.col("ta") - F.col("tb"))
     near = left.join(right, ["issuer", "bucket"]).where((F.col("a") < F.col("b")) & (gap > 0) & (gap <= width))
-    best = near.groupBy("a", "b", "issuer").agg(F.min(gap).alias("seconds"))
-    return best.withColumn("within", F.when(F.col("seconds") <= 86_400, "24h").otherwise(f"{day_limit}d"))
+    within = F.when(gap <= 86_400, "24h").otherwise(f"{day_limit}d")
+    return near.groupBy("a", "b", "issuer", within.alias("within")).agg(F.min(gap).alias("seconds"))
 
 
 # ---- document pairs ----

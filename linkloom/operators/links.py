@@ -77,15 +77,22 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def assemble(evidence: DataFrame, min_score: float | None = None) -> DataFrame:
-    """Links from evidence rows: score, confidence, strength and counts, and the
-    evidence itself, the heaviest first."""
+    """Links from evidence rows: score, confidence, strength and counts, by
+    aggregates that combine before the shuffle. The evidence itself: heaviest()."""
     decisive = S.is_decisive(F.col("kind"), F.lit(True), F.col("weight"))
-    rows = F.sort_array(F.collect_list(F.struct("weight", "kind", "value", "degree", "rarity", "time_overlap", "recency")), False)
-    total = F.sum("raw_weight")
-    links = evidence.groupBy("a", "b").agg(F.round(total, 2).alias("score"), S.confidence(total).alias("confidence"), S.strength(total, F.max(decisive)).alias("strength"), F.count(F.lit(1)).alias("n_shared"), rows.alias("evidence"))
+    # Summed as whole billionths: the same total whatever the order of the rows.
+    units = F.sum(F.round(F.col("raw_weight") * 1e9).cast("long"))
+    total, score = units / F.lit(1e9), F.floor((units + 5_000_000) / F.lit(1e7)) / F.lit(100.0)
+    links = evidence.groupBy("a", "b").agg(score.alias("score"), S.confidence(total).alias("confidence"), S.strength(total, F.max(decisive)).alias("strength"), F.count(F.lit(1)).alias("n_shared"))
     return links if min_score is None else links.where(F.col("score") >= min_score)
 
 
+def heaviest(evidence: DataFrame, limit: int = 20) -> DataFrame:
+    """The heaviest evidence rows of each pair, ranked: what a reader is shown."""
+    by = Window.partitionBy("a", "b").orderBy(F.desc("weight"), "kind", "value")
+    return evidence.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+
 def links(observations: DataFrame, entities: DataFrame, kept: DataFrame, as_of: str, weights: dict[str, float] | None = None, min_score: float | None = None, cfg: Config = CONFIG) -> DataFrame:
     """All links by selectors, both ways. The sides are written: the self-join
     reads them twice."""

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..storage import small
 
 
 def latest_runs(runs: DataFrame, key: Column | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def pool(entities: DataFrame, counts: DataFrame, labels: DataFrame, tiers: DataF
 
     order: connections, recent or name; limit is held to 1..5000."""
     apexes = entities.where("rd IS NOT NULL").groupBy("rd").agg(F.countDistinct("value").alias("hosts"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    rows = apexes.join(counts, "rd", "left").join(labels, "rd", "left").join(F.broadcast(tiers), "rd", "left").fillna(0, ["connections"])
+    rows = apexes.join(counts, "rd", "left").join(labels, "rd", "left").join(small(tiers), "rd", "left").fillna(0, ["connections"])
     rows = rows.where((F.col("hosts") >= min_hosts) & (F.col("connections") >= min_links))
     if contains:
         rows = rows.where(F.lower("rd").contains(contains.lower()))

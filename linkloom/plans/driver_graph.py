@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 AS_OF = "2002-01-01"
 WEIGHTS = {"part_day": 200.0, "supp_day": 92.0, "part_month": 40.0, "part": 25.0, "supplier": 15.0}
-LINK_KINDS = ("part_day", "part_month", "supp_day")
+#: All kinds take part in links; the denylist alone leaves any out.
+LINK_KINDS = tuple(WEIGHTS)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,5 +93,5 @@ SQL_CONFIDENCE = "CAST(round_even(100.0::DOUBLE * t / (t + 65.0::DOUBLE), 0) AS
 
 
 def sql_links(*kinds: str) -> str:
-    return f"""{sql_evidence(*kinds)}, lk AS (SELECT a, b, round(t, 2) AS score, {SQL_CONFIDENCE} AS confidence, CASE WHEN t >= 65 THEN 'strong' WHEN t >= 30 THEN 'moderate' ELSE 'weak' END AS strength, n_shared
-      FROM (SELECT a, b, sum(raw_weight) AS t, count(*) AS n_shared FROM ev GROUP BY a, b))"""
+    return f"""{sql_evidence(*kinds)}, lk AS (SELECT a, b, floor((u + 5000000) / 10000000.0::DOUBLE) / 100.0::DOUBLE AS score, {SQL_CONFIDENCE} AS confidence, CASE WHEN t >= 65 THEN 'strong' WHEN t >= 30 THEN 'moderate' ELSE 'weak' END AS strength, n_shared
+      FROM (SELECT a, b, u, u / 1000000000.0::DOUBLE AS t, n_shared FROM (SELECT a, b, CAST(sum(CAST(round(raw_weight * 1000000000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS u, count(*) AS n_shared FROM ev GROUP BY a, b)))"""

@@ -160,6 +160,11 @@ def link_evidence_long(spark, sf):
     return all_evidence(spark, sf).select("a", "b", "kind", "value", "degree", "rarity", "time_overlap", "recency", "weight")
 
 
+@query(f"WITH {D.sql_evidence('part_day', 'supp_day')} SELECT a, b, kind, value, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY weight DESC, kind, value) AS rank FROM ev WHERE a < b) WHERE rank <= 3")
+def heaviest_evidence(spark, sf):
+    return L.heaviest(all_evidence(spark, sf, "part_day", "supp_day"), 3).select("a", "b", "kind", "value", "weight", "rank")
+
+
 @query(f"WITH {D.sql_evidence('part_day')}, t AS (SELECT *, CASE WHEN hash_id % 2 = 0 THEN 'site_verification' ELSE 'dns_txt_token' END AS k FROM (SELECT DISTINCT a, b, unnest([value, value || 'x']) AS v, unnest([0, 0]) AS z, unnest([CAST(split_part(value, '|', 1) AS BIGINT), 1]) AS hash_id FROM ev WHERE a < b)) "
        "SELECT a, b, k AS kind, v AS value FROM t WHERE NOT (k = 'site_verification' AND EXISTS (SELECT 1 FROM t u WHERE u.k = 'dns_txt_token' AND u.a = t.a AND u.b = t.b AND lower(trim(u.v)) = lower(trim(t.v))))")
 def verification_dedupe(spark, sf):
@@ -234,10 +239,11 @@ def threshold_clusters(spark, sf):
     return C.threshold_clusters(nodes, all_links(spark, sf, "part_day").select("a", "b", "score"), 60.0).select("node", "cluster", "size", "max_score")
 
 
-@query(f"WITH {D.sql_obs('part_day', 'supp_day')} SELECT kind, value, count(DISTINCT rd) AS degree, array_to_string(list_sort(list(DISTINCT rd)), ',') AS domains FROM obs GROUP BY kind, value HAVING count(DISTINCT rd) >= 2")
+@query(f"WITH {D.sql_obs('part_day', 'supp_day')}, m AS (SELECT DISTINCT kind, value, rd FROM obs UNION SELECT DISTINCT 'shared_ip', unnest([s || '|' || substr(day, 1, 7), s || '|' || substr(day, 1, 4)]), rd FROM li) SELECT kind, value, n AS degree, rd FROM (SELECT *, count(*) OVER (PARTITION BY kind, value) AS n FROM m) WHERE n >= 2")
 def browse_groups(spark, sf):
-    groups = members(spark, sf, "part_day", "supp_day").groupBy("kind", "value").agg(F.collect_set("rd").alias("s")).where(F.size("s") >= 2)
-    return groups.select("kind", "value", F.size("s").cast("long").alias("degree"), F.array_join(F.array_sort("s"), ",").alias("domains"))
+    """Selectors and addresses that two domains or more share: a row for each
+    member, as a group has no upper bound."""
+    return C.browse_groups(members(spark, sf, "part_day", "supp_day"), D.edge_rows(spark, sf), entities(spark, sf))
 
 
 @query(f"WITH {D.sql_obs()} SELECT kind, count(*) AS n_groups, max(n) AS largest FROM (SELECT kind, value, count(DISTINCT rd) AS n FROM obs GROUP BY kind, value HAVING count(DISTINCT rd) >= 2) GROUP BY kind")

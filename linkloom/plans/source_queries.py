@@ -39,9 +39,9 @@ def channel_feed(spark, sf):
     return T.channel_domains(channels).withColumn("labels", F.array_join("labels", ","))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS run, o_orderstatus AS input, 'domain' AS type, o_orderpriority AS timestamp FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run, o_orderstatus AS input, 'domain' AS type, o_orderpriority AS timestamp FROM orders")
 def documents_from_fields(spark, sf):
-    o = D.table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    o = D.table(spark, sf, "orders")
     field = lambda key, value, seq: F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(seq).alias("seq"))
     quoted = F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))
     each = F.explode(F.array(field("input", F.lit('"old"'), 1), field("input", quoted, 2), field("size", F.lit("3"), 1)))
@@ -66,7 +66,7 @@ def payload_merge(spark, sf):
 def order_documents(spark, sf):
     """A scan document for each order: its lines as addresses, certificates and
     tags of the host o<order>.c<customer>.test."""
-    lines = D.lines(spark, sf).where(F.col("entity").cast("long") % 4 == 1)
+    lines = D.lines(spark, sf)
     ip = F.concat_ws(".", F.lit("10"), (F.col("l_suppkey") % 250).cast("string"), F.substring("day", 6, 2).cast("int").cast("string"), F.lit("1"))
     cert = F.struct(ip.alias("ip"), F.sha2(F.concat_ws("|", "l_partkey", F.substring("day", 1, 7)), 256).alias("sha256"), F.array(F.concat(F.lit("*.p"), F.col("l_partkey").cast("string"), F.lit(".test"))).alias("sans"), F.col("day").alias("not_before"), F.col("day").alias("not_after"))
     host = F.concat(F.lit("o"), F.col("entity"), F.lit(".c"), F.col("rd"), F.lit(".test"))
@@ -75,7 +75,7 @@ def order_documents(spark, sf):
     return doc.select(F.col("entity").alias("run"), F.to_json(body).alias("json"))
 
 
-_DOCS = f"""{D.SQL_LINES}, ln AS (SELECT *, 'o' || entity || '.c' || rd || '.test' AS host, '10.' || CAST(s AS BIGINT) % 250 || '.' || CAST(substr(day, 6, 2) AS INTEGER) || '.1' AS ip, max(day) OVER (PARTITION BY entity) AS ts FROM li WHERE CAST(entity AS BIGINT) % 4 = 1)"""
+_DOCS = f"""{D.SQL_LINES}, ln AS (SELECT *, 'o' || entity || '.c' || rd || '.test' AS host, '10.' || CAST(s AS BIGINT) % 250 || '.' || CAST(substr(day, 6, 2) AS INTEGER) || '.1' AS ip, max(day) OVER (PARTITION BY entity) AS ts FROM li)"""
 
 
 @query(f"""WITH {_DOCS} SELECT host AS entity, kind, value, source, min(f) AS first_seen, max(l) AS last_seen FROM (
@@ -104,12 +104,12 @@ def identifier_spelling(spark, sf):
     return D.table(spark, sf, "customer").select("c_custkey", I.normal_value(kind, raw).alias("value"))
 
 
-@query("WITH RECURSIVE w(domain, name, depth) AS (SELECT CAST(c_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR), 0 FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT domain, CAST(CAST(name AS BIGINT) // 2 AS VARCHAR), depth + 1 FROM w WHERE depth < 5 AND CAST(name AS BIGINT) > 1) SELECT domain, name, min(depth) AS depth FROM w WHERE depth > 0 AND name <> domain GROUP BY domain, name")
+@query("WITH RECURSIVE w(domain, name, depth) AS (SELECT CAST(c_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR), 0 FROM customer UNION ALL SELECT domain, CAST(CAST(name AS BIGINT) // 2 AS VARCHAR), depth + 1 FROM w WHERE depth < 5 AND CAST(name AS BIGINT) > 1) SELECT domain, name, min(depth) AS depth FROM w WHERE depth > 0 AND name <> domain GROUP BY domain, name")
 def spf_include_walk(spark, sf):
     key = F.col("c_custkey")
     c = D.table(spark, sf, "customer")
     records = c.select(key.cast("string").alias("name"), F.when(key > 1, F.concat(F.lit("v=spf1 include:"), F.floor(key / 2).cast("string"), F.lit(" -all"))).otherwise("v=spf1 -all").alias("text"))
-    return N.spf_walk(records, c.where("c_custkey % 50 = 0 AND c_custkey > 0").select(key.cast("string").alias("domain")))
+    return N.spf_walk(records, c.select(key.cast("string").alias("domain")))
 
 
 @query("SELECT c_custkey, 'microsoft|ms' || c_custkey AS tokens FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, '' FROM customer WHERE c_custkey % 2 <> 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import host as H
+from ..storage import small, written
 
 #: Social and sharing sites: never a target by themselves.
 SOCIAL = ("facebook.com", "instagram.com", "linkedin.com", "odysee.com", "ok.ru", "reddit.com", "rumble.com", "t.me", "telegram.me", "telegram.org", "threads.net", "tiktok.com", "twitter.com", "vk.com", "x.com", "youtube.com", "youtu.be")
@@ -40,9 +41,16 @@ def normalized(targets: DataFrame) -> DataFrame:
 def batches(targets: DataFrame, known: DataFrame, tiers: DataFrame, size: int = 250) -> DataFrame:
     """New targets in batches, those with a tier first; size 0 makes one batch.
     targets: target, labels; known: target; tiers: target, tier."""
-    new = targets.join(known.select("target").distinct(), "target", "left_anti").join(F.broadcast(tiers), "target", "left")
-    n = F.row_number().over(Window.orderBy(F.col("tier").asc_nulls_last(), "target")) - 1
-    return new.withColumn("batch", F.floor(n / size).cast("int") if size else F.lit(0))
+    new = targets.join(known.select("target").distinct(), "target", "left_anti").join(small(tiers), "target", "left")
+    if not size:
+        return new.withColumn("batch", F.lit(0))
+    # Numbers follow from counts per range of the order, not from one sorted task.
+    order = [F.col("tier").asc_nulls_last(), F.col("target")]
+    ranged = written(new.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "targets")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    n = F.col("__start") + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.join(starts, "__range").withColumn("batch", F.floor(n / size).cast("int")).drop("__range", "__start")
 
 
 def channel_domains(channels: DataFrame) -> DataFrame:

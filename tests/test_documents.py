@@ -37,7 +37,7 @@ def test_certificate_on_two_domains(spark):
     o, _, n, sans = graph(spark, scan("a.test", non_cf_tls_certs=[CERT]), scan("b.test", tls_certs={"probes": [CERT]}))
     links = {(r.a, r.b): r for r in L.links(o, n, G.selectors(o, sans), AS_OF).collect()}
     link = links[("a.test", "b.test")]
-    assert link.strength == "strong" and {e.kind for e in link.evidence} == {"tls_cert_sha256", "tls_spki", "tls_san"}
+    assert link.strength == "strong" and link.n_shared == 3
     assert [r.value for r in o.where("kind = 'tls_cert_sha256'").collect()] == ["aabb"] * 2
 
 
