@@ -1 +1,58 @@
-"""Pages over the test tables."""
+"""Pages and published text files over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import pages as P
+from ..functions import wellknown as W
+from . import driver_graph as D
+from .registry import query
+
+
+def home_pages(spark, sf):
+    """The pages, each with tags of its own at the head."""
+    p, key = D.table(spark, sf, "pages"), F.col("page_id").cast("string")
+    odd = F.col("page_id") % 2 == 1
+    head = F.concat(
+        F.lit('<head><meta name="generator" content="Gen &amp; '), key, F.lit('"><meta name="google-site-verification" content="g'), key, F.lit('"><link rel="canonical" href="/p/'), key, F.lit('"><link rel="me" href="https://m.test/@u'), key,
+        F.lit('"><script src="https://cdn'), (F.col("page_id") % 3).cast("string"), F.lit('.test/a.js"></script>'), F.when(odd, F.concat(F.lit('<a href="https://t.me/chan_'), key, F.lit('">t</a> GTM-ABC12 '))).otherwise(""),
+    )
+    return p.select("page_id", F.concat(F.lit("https://h.test/x/"), key).alias("url"), F.regexp_replace("html", "<head>", head).alias("html"))
+
+
+@query(r"""SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f\x0b]+', ' ', 'g')), '&amp;', '&') AS title, lower(regexp_extract(html, '(?i)<html[^>]*\blang=[\"'']?([A-Za-z-]+)', 1)) AS html_lang,
+ 'Gen & ' || page_id AS cms_generator, 'google|g' || page_id AS proofs, 'https://h.test/p/' || page_id AS canonical_url, 'https://m.test/@u' || page_id AS rel_me, 'cdn' || page_id % 3 || '.test' AS hosts, CASE WHEN page_id % 2 = 1 THEN 'GTM-ABC12' ELSE '' END AS gtm,
+ 'mastodon|u' || page_id || CASE WHEN page_id % 2 = 1 THEN ',telegram|chan_' || page_id ELSE '' END AS handles FROM pages""")
+def homepage_fields(spark, sf):
+    pairs = lambda c: F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda v: F.concat_ws("|", e["key"], v))))), ",")
+    found = P.homepages(home_pages(spark, sf), "html", "url")
+    return found.select(
+        "page_id", "title", "html_lang", "cms_generator", pairs("site_verifications").alias("proofs"), "canonical_url", F.array_join("rel_me_links", ",").alias("rel_me"), F.array_join("script_asset_hosts", ",").alias("hosts"),
+        F.array_join("gtm_ids", ",").alias("gtm"), pairs("social_handles").alias("handles"),
+    )
+
+
+@query("SELECT c_custkey, 'ads.test,own' || c_custkey || '.test' AS sellers, 'pub-1,' || c_custkey AS publishers, 'RESELLER' AS relation, 'me' || c_custkey AS owner FROM customer")
+def ads_records(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("# top\nAds.test, pub-1, direct, f1 # c\r\nown"), key, F.lit(".test,"), key, F.lit(", reseller\nshort, line\nOwnerDomain=x\nownerdomain = me"), key, F.lit("\n"))
+    return D.table(spark, sf, "customer").select("c_custkey", W.ads_txt(text).alias("a")).select(
+        "c_custkey", F.array_join("a.seller_domains", ",").alias("sellers"), F.array_join("a.publisher_ids", ",").alias("publishers"), F.element_at(F.col("a.records"), -1)["relationship"].alias("relation"), F.element_at("a.variables", F.lit("ownerdomain")).alias("owner"))
+
+
+@query("SELECT c_custkey, 'mailto:sec' || c_custkey || '@own.test,https://own.test/r' AS contacts, 'sec' || c_custkey || '@own.test' AS emails, '2030-01-01' AS expires, 'enforce' AS mode, 'mx1.own.test,mx2.own.test' AS mx FROM customer")
+def published_policies(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("# comment: no\nContact: mailto:sec"), key, F.lit("@own.test\ncontact: https://own.test/r\nContact: https://own.test/r\n\nExpires: 2030-01-01\n"))
+    sts = F.lit("version: STSv1\nmode: enforce\nmx: mx1.own.test\nmx: mx2.own.test\nmax_age: 86400")
+    rows = D.table(spark, sf, "customer").select("c_custkey", W.security_txt(text).alias("s"), W.mta_sts(sts).alias("m"))
+    return rows.select("c_custkey", F.array_join("s.contacts", ",").alias("contacts"), F.array_join("s.emails", ",").alias("emails"), "s.expires", "m.mode", F.array_join("m.mx", ",").alias("mx"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'app.own' || c_custkey WHEN c_custkey % 3 = 1 THEN 'one.app' ELSE '' END AS packages, CASE WHEN c_custkey % 3 = 0 THEN 'https://own.test' ELSE '' END AS sites FROM customer")
+def app_links(spark, sf):
+    key, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
+    many = F.concat(F.lit('[{"relation":["r1"],"target":{"package_name":"app.own'), key, F.lit('"}},{"relation":["r1"],"target":{"site":"https://own.test"}}]'))
+    text = F.when(k == 0, many).when(k == 1, '{"target":{"package_name":"one.app"}}').otherwise("not json")
+    return D.table(spark, sf, "customer").select("c_custkey", W.assetlinks(text).alias("a")).select("c_custkey", F.array_join("a.package_names", ",").alias("packages"), F.array_join("a.sites", ",").alias("sites"))
