@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import extraction, lines, mixing, neardup, neighbours, packing, quality, repeats, rollup, sharding
+from . import extraction, lines, mixing, neardup, neighbours, online_packing, packing, quality, repeats, rollup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_neardup": neardup.op8_minhash_neardup,
         "op9_extract_pages": extraction.op9_extract_pages,
         "op10_host_quality": quality.op10_host_quality,
+        "op11_sum_of_squares_packing": online_packing.op11_sum_of_squares_packing,
         "pipeline": corpus_pipeline.run,
     }
 
