@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import collocations, extraction, lines, mixing, neardup, neighbours, online_packing, packing, quality, repeats, rollup, sharding
+from . import collocations, conversations, extraction, lines, mixing, neardup, neighbours, online_packing, packing, quality, repeats, rollup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,9 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_host_quality": quality.op10_host_quality,
         "op11_sum_of_squares_packing": online_packing.op11_sum_of_squares_packing,
         "op12_pair_naming": collocations.op12_pair_naming,
+        "op13_repair_conversations": conversations.op13_repair_conversations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL, "op7_site_spread_lines": lines.OP7_SQL, "op10_host_quality": quality.OP10_SQL, "op12_pair_naming": collocations.OP12_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op4_rendezvous_shards": sharding.OP4_SQL, "op7_site_spread_lines": lines.OP7_SQL, "op10_host_quality": quality.OP10_SQL, "op12_pair_naming": collocations.OP12_SQL, "op13_repair_conversations": conversations.OP13_SQL}
