@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, new_path, read, remove
 
 #: Phrases of 2 to LONGEST words, found LEAST times or more.
 LONGEST, LEAST = 4, 30
@@ -35,15 +35,15 @@ TOP = 2000
 #: A score of 1 is this many.
 UNIT = 2_000_000
 #: Tokens in a block; bytes of text for each hash range.
-BLOCK, RANGE_BYTES = 1 << 20, 8 << 20
+BLOCK, RANGE_BYTES = 1 << 21, 8 << 20
 #: Groups of more rows than this are cut before they are ranked.
 RANKED = 200_000
 
 _END = b"\xff"  # of a piece; no byte of UTF-8
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _END * 10)
 
-_LAID = "block long, lang string, n_words long, seq binary, range int, words binary, counts binary, idx binary"
-_PAIRS = "block long, lang string, seq binary, range int, lefts binary, rights binary, counts binary, idx binary"
+_LAID = "block long, lang string, n_words long, held binary, seq binary, range int, words binary, counts binary, idx binary"
+_PAIRS = "block long, lang string, held binary, seq binary, range int, first long, lefts binary, rights binary, counts binary"
 _NAMES = "lang string, id long, word string, `left` long, `right` long, a long, block long, idx binary, ids binary"
 
 
@@ -52,6 +52,49 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LETTERS).replace(_END, b" \xff ").split()
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 0 and more, byte by byte of their weight, in as few bytes as
+    the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + squeezed(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueezed(data[1:]), np.uint8).reshape(data[0], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : data[0]] = planes.T
+    return values.view("<i8").reshape(-1)
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Numbers of 0 and more that never fall, packed as their steps."""
+    return packed(np.diff(values, prepend=0))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def sequence_of(seq: np.ndarray) -> tuple[bytes, bytes]:
+    """Which places of a sequence hold a number (others are -1), and the numbers."""
+    return len(seq).to_bytes(8, "little") + squeezed(np.packbits(seq >= 0).tobytes()), packed(seq[seq >= 0])
+
+
+def sequence_from(held: bytes, numbers: bytes) -> np.ndarray:
+    n = int.from_bytes(held[:8], "little")
+    seq = np.full(n, -1, np.int64)
+    seq[np.unpackbits(np.frombuffer(unsqueezed(held[8:]), np.uint8), count=n).astype(bool)] = unpacked(numbers)
+    return seq
+
+
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
@@ -62,30 +105,27 @@ def _schema(ddl: str) -> list[tuple[str, pa.DataType]]:
     return [(n.strip("`"), kinds[t]) for n, t in (x.split() for x in ddl.split(", "))]
 
 
-def _by_range(ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(range, members) for every range that has members."""
-    order = np.argsort(ranges, kind="stable")
-    values, starts = np.unique(ranges[order], return_index=True)
-    yield from zip(values.tolist(), np.split(order, starts[1:]))
-
-
 def laid_out(docs: DataFrame, ranges: int, block: int = BLOCK) -> DataFrame:
     """Blocks of docs (text, lang): a row with the numbers of a block's words
-    (-1 where a piece ends), and for each hash range a row with the distinct
-    words that fall there, their counts and numbers."""
+    (none where a piece ends), and for each hash range a row with the distinct
+    words that fall there, their counts and numbers. Common words have small
+    numbers."""
     schema = _schema(_LAID)
 
     def flush(number: int, lang: str, vocabulary: dict[bytes, int], parts: list[np.ndarray]) -> pa.RecordBatch:
-        seq = np.concatenate(parts)
-        counts = np.bincount(seq, minlength=len(vocabulary))
-        words = list(vocabulary)
-        end = vocabulary.get(_END, -1)
-        rows = [(number, lang, int(len(seq) - (counts[end] if end >= 0 else 0)), np.where(seq == end, -1, seq).astype("<i4").tobytes(), None, None, None, None)]
-        ranged = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int64, len(words))
-        for r, members in _by_range(ranged):
-            members = members[members != end]
-            if len(members):
-                rows.append((number, lang, 0, None, r, _END.join(words[i] for i in members), counts[members].astype("<i8").tobytes(), members.astype("<i4").tobytes()))
+        seq, words = np.concatenate(parts), list(vocabulary)
+        counts = np.bincount(seq, minlength=len(words))
+        counts[vocabulary[_END]] = 0
+        order = np.argsort(-counts, kind="stable")  # the end mark comes last
+        renamed = np.empty(len(words), np.int64)
+        renamed[order] = np.arange(len(words))
+        renamed[vocabulary[_END]] = -1
+        rows = [(number, lang, int(counts.sum()), *sequence_of(renamed[seq]), None, None, None, None)]
+        order = order[: len(words) - 1]
+        ranged = np.fromiter((zlib.crc32(words[i]) % ranges for i in order), np.int64, len(order))
+        at = np.argsort(ranged, kind="stable")
+        for idx in np.split(at, np.flatnonzero(np.diff(ranged[at])) + 1) if len(at) else ():
+            rows.append((number, lang, 0, None, None, int(ranged[idx[0]]), squeezed(_END.join(words[i] for i in order[idx])), packed(counts[order[idx]]), rising(idx)))
         return _table(rows, schema).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,75 +154,77 @@ def laid_out(docs: DataFrame, ranges: int, block: int = BLOCK) -> DataFrame:
     return docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(run, _LAID)
 
 
-def named_words(laid: DataFrame, least: int) -> DataFrame:
+def named_words(laid: DataFrame, ranges: int, least: int) -> DataFrame:
     """Names of the frequent words, and which words of which block they are."""
     schema = _schema(_NAMES)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [(b, lang, words.split(_END), np.frombuffer(c, "<i8").tolist(), np.frombuffer(i, "<i4")) for b, lang, words, c, i in zip(*(table.column(n).to_pylist() for n in ("block", "lang", "words", "counts", "idx")))]
+        rows = [(b, lang, unsqueezed(words).split(_END), unpacked(c).tolist(), risen(i)) for b, lang, words, c, i in zip(*(table.column(n).to_pylist() for n in ("block", "lang", "words", "counts", "idx")))]
         total: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         for _, lang, words, counts, _ in rows:
             of = total[lang]
             for w, c in zip(words, counts):
                 of[w] += c
-        base, out, ids = table.column("range")[0].as_py() << 32, [], {}
+        base, out, ids = table.column("range")[0].as_py(), [], {}
         for lang in sorted(total):
             for w in sorted(w for w, a in total[lang].items() if a >= least):
-                ids[lang, w] = base + len(ids)
+                ids[lang, w] = base + len(ids) * ranges
                 out.append((lang, ids[lang, w], w.decode(), None, None, total[lang][w], None, None, None))
         for block, lang, words, _, idx in rows:
             named = np.fromiter((ids.get((lang, w), -1) for w in words), np.int64, len(words))
             if (named >= 0).any():
-                out.append((lang, None, None, None, None, None, block, idx[named >= 0].tobytes(), named[named >= 0].tobytes()))
+                out.append((lang, None, None, None, None, None, block, rising(idx[named >= 0]), packed(named[named >= 0])))
         return _table(out, schema)
 
     return laid.where(F.col("range").isNotNull()).select("block", "lang", "range", "words", "counts", "idx").groupBy("range").applyInArrow(run, _NAMES)
 
 
-def named_pairs(paired: DataFrame, least: int) -> DataFrame:
-    """Names of the frequent pairs, and which pairs of which block they are."""
+def named_pairs(paired: DataFrame, ranges: int, least: int, last: bool) -> DataFrame:
+    """Names of the frequent pairs, and (not for the last level) which pairs of
+    which block they are."""
     schema = _schema(_NAMES)
 
     def run(table: pa.Table) -> pa.Table:
-        blocks, langs = table.column("block").to_pylist(), table.column("lang").to_pylist()
-        each = [[np.frombuffer(x, t) for x in table.column(n).to_pylist()] for n, t in (("lefts", "<i8"), ("rights", "<i8"), ("counts", "<i8"), ("idx", "<i4"))]
+        blocks, langs, firsts = (table.column(n).to_pylist() for n in ("block", "lang", "first"))
+        each = [[f(x) for x in table.column(n).to_pylist()] for n, f in (("lefts", risen), ("rights", unpacked), ("counts", unpacked))]
         sizes = [len(x) for x in each[0]]
-        left, right, count, idx = (np.concatenate(x) for x in each)
+        left, right, count = (np.concatenate(x) for x in each)
         order = np.lexsort((right, left))
         l, r = left[order], right[order]
         new = np.append(True, (l[1:] != l[:-1]) | (r[1:] != r[:-1]))
         starts, group = np.flatnonzero(new), np.cumsum(new) - 1
         total = np.add.reduceat(count[order], starts)
         frequent = total >= least
-        name = np.where(frequent, np.cumsum(frequent) - 1 + (table.column("range")[0].as_py() << 32), -1)
-        ids = np.empty(len(left), np.int64)
-        ids[order] = name[group]
+        name = np.where(frequent, table.column("range")[0].as_py() + (np.cumsum(frequent) - 1) * ranges, -1)
         row = np.repeat(np.arange(len(sizes)), sizes)[order][starts]
         out = [(langs[i], n, None, x, y, a, None, None, None) for i, n, x, y, a in zip(*(x[frequent].tolist() for x in (row, name, l[starts], r[starts], total)))]
-        at = 0
-        for i, n in enumerate(sizes):
-            some = ids[at : at + n] >= 0
-            if some.any():
-                out.append((langs[i], None, None, None, None, None, blocks[i], idx[at : at + n][some].tobytes(), ids[at : at + n][some].tobytes()))
-            at += n
+        if not last:
+            ids = np.empty(len(left), np.int64)
+            ids[order] = name[group]
+            for i, named in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+                some = np.flatnonzero(named >= 0)
+                if len(some):
+                    out.append((langs[i], None, None, None, None, None, blocks[i], rising(firsts[i] + some), packed(named[some])))
         return _table(out, schema)
 
-    return paired.where(F.col("range").isNotNull()).select("block", "lang", "range", "lefts", "rights", "counts", "idx").groupBy("range").applyInArrow(run, _NAMES)
+    return paired.where(F.col("range").isNotNull()).select("block", "lang", "range", "first", "lefts", "rights", "counts").groupBy("range").applyInArrow(run, _NAMES)
 
 
 def paired(laid: DataFrame, names: DataFrame, ranges: int, last: bool) -> DataFrame:
     """Each block with its grams replaced by their ids, paired with the next: a
     row with the numbers of a block's distinct pairs by position (not for the
     last level), and for each hash range a row with the pairs that fall there,
-    their counts and numbers."""
+    in order, their counts and the number of the first."""
     schema = _schema(_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, raw, answers in zip(*(batch.column(n) for n in ("block", "lang", "seq", "answers"))):
-                seq = np.frombuffer(raw.as_py(), "<i4")
-                idx = np.concatenate([np.frombuffer(x["idx"], "<i4") for x in answers.as_py()])
-                ids = np.concatenate([np.frombuffer(x["ids"], "<i8") for x in answers.as_py()])
+            for block, lang, held, numbers, answers in zip(*(batch.column(n) for n in ("block", "lang", "held", "seq", "answers"))):
+                seq = sequence_from(held.as_py(), numbers.as_py())
+                idx = np.concatenate([risen(x["idx"]) for x in answers.as_py()])
+                ids = np.concatenate([unpacked(x["ids"]) for x in answers.as_py()])
+                named = np.argsort(ids)
+                idx, ids = idx[named], ids[named]
                 dense = np.full(max(int(seq.max()), int(idx.max())) + 2, -1, np.int64)  # the last one is for -1
                 dense[idx] = np.arange(len(ids))
                 grams = dense[seq]
@@ -191,18 +233,24 @@ def paired(laid: DataFrame, names: DataFrame, ranges: int, last: bool) -> DataFr
                     continue
                 codes, inverse, counts = np.unique(grams[at] * len(ids) + grams[at + 1], return_inverse=True, return_counts=True)
                 left, right = ids[codes // len(ids)], ids[codes % len(ids)]
+                mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                ranged = ((mixed >> np.uint64(29)) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(ranged, kind="stable")  # inside a range by left, then right
                 rows = []
                 if not last:
-                    pairs = np.full(len(seq), -1, "<i4")
-                    pairs[at] = inverse
-                    rows.append((block.as_py(), lang.as_py(), pairs.tobytes(), None, None, None, None, None))
-                mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                for r, members in _by_range(((mixed >> np.uint64(29)) % np.uint64(ranges)).astype(np.int64)):
-                    rows.append((block.as_py(), lang.as_py(), None, r, left[members].tobytes(), right[members].tobytes(), counts[members].astype("<i8").tobytes(), members.astype("<i4").tobytes()))
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
+                    pairs = np.full(len(seq), -1, np.int64)
+                    pairs[at] = place[inverse]
+                    rows.append((block.as_py(), lang.as_py(), *sequence_of(pairs), None, None, None, None, None))
+                first = 0
+                for members in np.split(order, np.flatnonzero(np.diff(ranged[order])) + 1):
+                    rows.append((block.as_py(), lang.as_py(), None, None, int(ranged[members[0]]), first, rising(left[members]), packed(right[members]), packed(counts[members])))
+                    first += len(members)
                 yield from _table(rows, schema).combine_chunks().to_batches()
 
     answers = names.where(F.col("block").isNotNull()).groupBy("block").agg(F.collect_list(F.struct("idx", "ids")).alias("answers"))
-    return laid.where(F.col("seq").isNotNull()).select("block", "lang", "seq").join(answers, "block").mapInArrow(run, _PAIRS)
+    return laid.where(F.col("seq").isNotNull()).select("block", "lang", "held", "seq").join(answers, "block").mapInArrow(run, _PAIRS)
 
 
 def score_of(a: Column, l: Column, r: Column) -> Column:
@@ -273,13 +321,18 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int
     long words are words. Empty table or no frequent phrase: empty result. Other
     columns are ignored.
     """
+    spark = docs.sparkSession
     ranges = max(1, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // range_bytes))
-    laid = materialize(laid_out(docs, ranges, block), "laid", "zstd")
-    sizes = laid.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    names = [materialize(named_words(laid, least), "words", "zstd")]
+    path = new_path(spark, "laid")
+    laid = materialize(laid_out(docs, ranges, block), "laid", path=path)
+    sizes = materialize(laid.groupBy("lang").agg(F.sum("n_words").alias("n")), "sizes")
+    names = [materialize(named_words(laid, ranges, least), "words", "zstd")]
     for k in range(2, LONGEST + 1):
-        laid = materialize(paired(laid, names[-1], ranges, k == LONGEST), f"pairs-{k}", "zstd")
-        names.append(materialize(named_pairs(laid, least), f"names-{k}", "zstd"))
+        old, path = path, new_path(spark, f"pairs-{k}")
+        laid = materialize(paired(laid, names[-1], ranges, k == LONGEST), f"pairs-{k}", path=path)
+        remove(spark, old)
+        names.append(materialize(named_pairs(laid, ranges, least, k == LONGEST), f"names-{k}", "zstd"))
+    remove(spark, path)
     found = materialize(candidates([x.where(F.col("id").isNotNull()) for x in names]).where(~F.col("dropped")), "candidates")
     return ranked(found, top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
