@@ -31,6 +31,7 @@ class Engine:
     tiers: DataFrame
     as_of: str
     certificate_names: DataFrame | None = None
+    address_context: DataFrame | None = None  # value, cloudflare, proxy_family, in_net, texts, flags, labels
     weights: dict[str, float] | None = None
     cfg: Config = CONFIG
 
@@ -39,10 +40,13 @@ class Engine:
 
     def recompute(self) -> None:
         """Full rebuild of selectors, links and clusters."""
-        self.selectors = written(G.selectors(self.observations, self.certificate_names, self.cfg), "selectors")
-        self.all_links = written(L.links(self.observations, self.entities, self.selectors, self.as_of, self.weights, cfg=self.cfg), "links")
+        first = G.selectors(self.observations, self.certificate_names, self.cfg)
+        noisy = written(L.noisy_addresses(self.observations, first, self.address_context), "noisy")
+        rows = L.with_addresses(self.observations, self.edges)
+        self.selectors = written(G.selectors(rows, self.certificate_names, self.cfg, owners=self.entities.select("value", "rd"), noisy=noisy), "selectors")
+        self.all_links = written(L.links(rows, self.entities, self.selectors, self.as_of, self.weights, cfg=self.cfg), "links")
         owners = self.entities.where("rd IS NOT NULL").select(F.col("value").alias("entity"), "rd")
-        good = self.selectors.where("attributing").select("kind", "value")
+        good = self.selectors.where("attributing AND kind <> 'shared_ip'").select("kind", "value")
         self.members = written(self.observations.join(good, ["kind", "value"], "left_semi").join(owners, "entity").select("rd", "kind", "value").distinct(), "members")
         self.labels, self.connectors = C.clusters(self.members, ["kind", "value"], self.cfg.cluster_fanout)
 
@@ -69,8 +73,11 @@ class Engine:
         return self.members.groupBy("kind", "value").count().where("count >= 2").groupBy("kind").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("groups"), "kind")
 
     def by_selector(self, kind: str, limit: int = 200, min_domains: int = 2) -> DataFrame:
-        groups = self.members.where(F.col("kind") == kind).groupBy("value").agg(F.array_sort(F.collect_set("rd")).alias("domains"))
-        return groups.withColumn("degree", F.size("domains")).where(F.col("degree") >= min_domains).orderBy(F.desc("degree"), "value").limit(limit)
+        """The values of a kind that most domains share, one row per domain:
+        value, degree, rd. Domains are listed for the values shown alone."""
+        mine = self.members.where(F.col("kind") == kind).select("value", "rd")
+        shown = mine.groupBy("value").agg(F.count("rd").alias("degree")).where(F.col("degree") >= min_domains).orderBy(F.desc("degree"), "value").limit(limit)
+        return mine.join(shown, "value").select("value", "degree", "rd").orderBy(F.desc("degree"), "value", "rd")
 
     def path(self, a: str, b: str) -> DataFrame:
         return C.path_between(C.paths(self.all_links.select("a", "b", "score"), F.col("a").isin(a, b), self.cfg), a, b)
@@ -82,7 +89,7 @@ class Engine:
     def search(self, needle: str, limit: int = 20) -> DataFrame:
         counts = self.all_links.groupBy(F.col("a").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
         domains = self.entities.where("rd IS NOT NULL").select(F.col("rd").alias("value")).distinct().join(counts, "value", "left").fillna(0, ["weight"]).withColumn("what", F.lit("domain"))
-        return R.search(domains.unionByName(self.selectors.select("value", F.col("degree").alias("weight"), F.col("kind").alias("what"))), needle, limit)
+        return R.search(domains.unionByName(self.selectors.where("kind <> 'shared_ip'").select("value", F.col("degree").alias("weight"), F.col("kind").alias("what"))), needle, limit)
 
     def clusters(self, min_size: int = 2, limit: int = 100) -> DataFrame:
         return self.labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size).orderBy(F.desc("size"), "cluster_id").limit(limit)

@@ -88,17 +88,33 @@ def denied(kind: Column, value: Column, degree: Column, bundled: Column, cfg: K.
     return out
 
 
-def selectors(observations: DataFrame, sans: DataFrame | None = None, cfg: K.Config = CONFIG, only: DataFrame | None = None) -> DataFrame:
+def selectors(observations: DataFrame, sans: DataFrame | None = None, cfg: K.Config = CONFIG, only: DataFrame | None = None, owners: DataFrame | None = None, noisy: DataFrame | None = None) -> DataFrame:
     """kind, value, degree, attributing of every selector, or of the touched
-    ones (kind, value) alone."""
+    ones (kind, value) alone.
+
+    Addresses (kind `shared_ip`) count registrable domains, which are in a column
+    rd or come from owners (value, rd); they attribute unless they are in noisy
+    (value) or more domains share them than a pool has."""
     if only is not None:
         observations = observations.join(only, ["kind", "value"], "left_semi")
-    degrees = selector_degrees(observations)
+    degrees = selector_degrees(observations.where("kind <> 'shared_ip'"))
+    addresses = None
+    if owners is not None or "rd" in observations.columns:
+        at = observations.where("kind = 'shared_ip'")
+        if "rd" not in observations.columns:
+            at = at.join(owners.select(F.col("value").alias("entity"), "rd"), "entity")
+        addresses = at.where("rd IS NOT NULL").groupBy("kind", "value").agg(F.countDistinct("rd").alias("degree"))
+        marked = F.lit(False)
+        if noisy is not None:
+            addresses = addresses.join(noisy.select("value").distinct().withColumn("__noisy", F.lit(True)), "value", "left")
+            marked = F.coalesce(F.col("__noisy"), F.lit(False))
+        addresses = addresses.select("kind", "value", "degree", (~marked & (F.col("degree") <= cfg.ip_noise_degree)).alias("attributing"))
     bundled = F.lit(False)
     if sans is not None:
         marks = bundled_selectors(sans, cfg.san_owner_ceiling).withColumn("bundled", F.lit(True))
         degrees, bundled = degrees.join(marks, ["kind", "value"], "left"), F.coalesce(F.col("bundled"), F.lit(False))
-    return degrees.select("kind", "value", "degree", (~denied(F.col("kind"), F.col("value"), F.col("degree"), bundled, cfg)).alias("attributing"))
+    out = degrees.select("kind", "value", "degree", (~denied(F.col("kind"), F.col("value"), F.col("degree"), bundled, cfg)).alias("attributing"))
+    return out if addresses is None else out.unionByName(addresses)
 
 
 def latest(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:

@@ -1,5 +1,8 @@
-"""Links between registrable domains: shared selectors and shared addresses,
-scored by rarity, overlap in time and recency, with their evidence.
+"""Links between registrable domains, scored by rarity, overlap in time and
+recency, with their evidence. One link is all that a pair shares: selectors, a
+verification code once however often it is published, and addresses of networks
+that strangers do not share. Addresses go through the same self-join as selectors
+(kind `shared_ip`); their degree counts domains, see graph_build.selectors.
 
 Noise goes before the self-join: what is left of a selector's owners is bounded
 by the denylist, and each pair is made once, from the smaller side, then turned.
@@ -63,11 +66,13 @@ def factors(pairs: DataFrame, as_of: str, weights: dict[str, float] | None = Non
 
 def verification_twins(evidence: DataFrame) -> DataFrame:
     """Evidence without page verification codes that the same pair also shares
-    as a DNS token: one code counts once."""
-    code = F.lower(F.trim("value"))
-    dns = evidence.where("kind = 'dns_txt_token'").select("a", "b", code.alias("__code")).distinct()
-    twins = evidence.where("kind = 'site_verification'").join(dns, (evidence.a == dns.a) & (evidence.b == dns.b) & (F.lower(F.trim(evidence.value)) == dns.__code), "left_anti")
-    return twins.unionByName(evidence.where("kind <> 'site_verification'"))
+    as a DNS token: one code counts once. Only codes are grouped, by pair and
+    code; all other evidence passes by."""
+    codes = F.col("kind").isin("dns_txt_token", "site_verification")
+    pair = Window.partitionBy("a", "b", F.lower(F.trim("value")))
+    in_dns = F.max((F.col("kind") == "dns_txt_token").cast("int")).over(pair) == 1
+    kept = evidence.where(codes).withColumn("__dns", in_dns).where((F.col("kind") == "dns_txt_token") | ~F.col("__dns")).drop("__dns")
+    return kept.unionByName(evidence.where(~codes | F.col("kind").isNull()))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -93,11 +98,18 @@ def heaviest(evidence: DataFrame, limit: int = 20) -> DataFrame:
     return evidence.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
+def evidence(side: DataFrame, as_of: str, weights: dict[str, float] | None = None, cfg: Config = CONFIG, a: Column | None = None, b: Column | None = None) -> DataFrame:
+    """All that pairs of domains share, weighed, codes once. side: written, as
+    it is read several times."""
+    return verification_twins(factors(shared(side, a, b), as_of, weights, cfg))
+
+
 def links(observations: DataFrame, entities: DataFrame, kept: DataFrame, as_of: str, weights: dict[str, float] | None = None, min_score: float | None = None, cfg: Config = CONFIG) -> DataFrame:
-    """All links by selectors, both ways. The sides are written: the self-join
-    reads them twice."""
-    evidence = factors(shared(written(sides(observations, entities, kept), "sides")), as_of, weights, cfg)
-    return both_ways(written(assemble(evidence, min_score), "links"))
+    """All links, both ways. observations: with address_rows(), so that shared
+    addresses count; kept: selectors() of them, with owners and noisy addresses.
+    The sides are written: the self-join reads them twice."""
+    found = evidence(written(sides(observations, entities, kept), "sides"), as_of, weights, cfg)
+    return both_ways(written(assemble(found, min_score), "links"))
 
 
 def ranked(found: DataFrame, limit: int = 50, min_score: float = 1.0) -> DataFrame:
@@ -109,6 +121,31 @@ def ranked(found: DataFrame, limit: int = 50, min_score: float = 1.0) -> DataFra
 # ---- shared addresses ----
 
 
+def address_rows(edges: DataFrame) -> DataFrame:
+    """Edges from hosts to addresses as observations of the kind `shared_ip`."""
+    return edges.where("kind = 'resolves_to'").select(F.col("src").alias("entity"), F.lit("shared_ip").alias("kind"), F.col("dst").alias("value"), "source", "first_seen", "last_seen")
+
+
+def with_addresses(observations: DataFrame, edges: DataFrame) -> DataFrame:
+    rows = address_rows(edges)
+    return observations.select(rows.columns).unionByName(rows)
+
+
+def noisy_addresses(observations: DataFrame, kept: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Addresses (value) in networks that strangers share: seen under a network
+    number or range that the denylist has, or so by their enrichment. context:
+    value, cloudflare, proxy_family, in_net, texts, flags, labels."""
+    bad = kept.where("NOT attributing AND kind IN ('asn', 'network_cidr')").select("kind", "value")
+    noisy = observations.where("kind IN ('asn', 'network_cidr')").join(bad, ["kind", "value"], "left_semi").select(F.col("entity").alias("value"))
+    if context is not None:
+        from ..functions.signals import edge_network
+
+        c = {n: F.col(n) for n in ("cloudflare", "proxy_family", "in_net", "texts", "flags", "labels")}
+        edge = edge_network(F.lit(False), c["cloudflare"], c["proxy_family"], c["in_net"], [F.array_join(c["texts"], " ")], c["flags"], c["labels"])
+        noisy = noisy.unionByName(context.where(edge).select("value"))
+    return noisy.distinct()
+
+
 def ip_sides(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Per registrable domain and address: window and sources."""
     owners = entities.where("rd IS NOT NULL").select(F.col("value").alias("src"), "rd")

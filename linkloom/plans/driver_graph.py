@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 AS_OF = "2002-01-01"
 WEIGHTS = {"part_day": 200.0, "supp_day": 92.0, "part_month": 40.0, "part": 25.0, "supplier": 15.0}
-#: All kinds take part in links; the denylist alone leaves any out.
-LINK_KINDS = tuple(WEIGHTS)
+#: All kinds take part in links, with codes that half of the parts publish in two
+#: ways, and addresses; the denylist and shared networks alone leave any out.
+LINK_WEIGHTS = {**WEIGHTS, "site_verification": 92.0, "dns_txt_token": 90.0, "shared_ip": 85.0}
+LINK_KINDS = tuple(k for k in LINK_WEIGHTS if k != "shared_ip")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,8 +32,11 @@ def observation_rows(spark: SparkSession, sf: str, kinds: tuple[str, ...] = tupl
     day, month = F.col("day"), F.substring("day", 1, 7)
     part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
     values = {"part_day": F.concat_ws("|", part, day), "part_month": F.concat_ws("|", part, month), "supp_day": F.concat_ws("|", supp, day), "part": part, "supplier": supp}
+    values["site_verification"] = F.concat_ws("|", F.lit("tok"), part, day)
+    values["dns_txt_token"] = F.when(F.col("l_partkey") % 2 == 0, F.concat_ws("|", F.lit("TOK"), part, day))
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), values[k].alias("value")) for k in kinds]))
-    return lines(spark, sf).select("entity", "source", day.alias("first_seen"), day.alias("last_seen"), pairs.alias("s")).select("entity", "s.kind", "s.value", "source", "first_seen", "last_seen")
+    rows = lines(spark, sf).select("entity", "source", day.alias("first_seen"), day.alias("last_seen"), pairs.alias("s")).select("entity", "s.kind", "s.value", "source", "first_seen", "last_seen")
+    return rows.where("value IS NOT NULL")
 
 
 def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,17 +49,37 @@ def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select(F.col("entity").alias("src"), ips.alias("dst"), F.lit("resolves_to").alias("kind"), "source", F.col("day").alias("first_seen"), F.col("day").alias("last_seen"))
 
 
+def address_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrichment of every address, from its supplier."""
+    supp = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("supp"), "s_nationkey", "s_acctbal")
+    at = edge_rows(spark, sf).select(F.col("dst").alias("value"), F.split_part("dst", F.lit("|"), F.lit(1)).alias("supp")).distinct().join(supp, "supp")
+    return at.select(
+        "value", (F.col("s_nationkey") == 3).alias("cloudflare"), F.when(F.col("s_acctbal") < -900, "front").alias("proxy_family"), (F.col("s_nationkey") == 11).alias("in_net"),
+        F.array(F.lit("net"), F.col("supp")).alias("texts"), F.create_map(F.lit("vpn"), F.col("s_acctbal") > 9900).alias("flags"), F.lit(None).cast("array<string>").alias("labels"),
+    )
+
+
+def network_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Network numbers that addresses were seen under, from their suppliers."""
+    supp = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("supp"), F.when(F.col("s_nationkey") % 8 == 0, "13335").alias("asn"))
+    at = edge_rows(spark, sf).select(F.col("dst").alias("entity"), F.split_part("dst", F.lit("|"), F.lit(1)).alias("supp"), "source", "first_seen", "last_seen")
+    return at.join(supp, "supp").select("entity", F.lit("asn").alias("kind"), F.coalesce("asn", F.concat(F.lit("own "), F.col("entity"))).alias("value"), "source", "first_seen", "last_seen")
+
+
 # ---- the same in SQL ----
 
+#: Suppliers whose addresses say nothing.
+SQL_NOISY = "SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey IN (3, 11) OR s_nationkey % 8 = 0 OR s_acctbal < -900 OR s_acctbal > 9900"
+
 SQL_LINES = """li AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS entity, CAST(o_custkey AS VARCHAR) AS rd, l_returnflag AS source, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-_VALUES = {"part_day": "p || '|' || day", "part_month": "p || '|' || substr(day, 1, 7)", "supp_day": "s || '|' || day", "part": "p", "supplier": "s"}
+_VALUES = {"part_day": "p || '|' || day", "part_month": "p || '|' || substr(day, 1, 7)", "supp_day": "s || '|' || day", "part": "p", "supplier": "s", "site_verification": "'tok|' || p || '|' || day", "dns_txt_token": "CASE WHEN CAST(p AS BIGINT) % 2 = 0 THEN 'TOK|' || p || '|' || day END"}
 
 
 def sql_obs(*kinds: str) -> str:
     union = " UNION ALL ".join(f"SELECT entity, rd, source, day, '{k}' AS kind, {_VALUES[k]} AS value FROM li" for k in kinds or tuple(WEIGHTS))
-    return f"{SQL_LINES}, obs AS (SELECT entity, rd, kind, value, source, min(day) AS first_seen, max(day) AS last_seen, count(*) AS n_rows FROM ({union}) GROUP BY ALL)"
+    return f"{SQL_LINES}, obs AS (SELECT entity, rd, kind, value, source, min(day) AS first_seen, max(day) AS last_seen, count(*) AS n_rows FROM ({union}) WHERE value IS NOT NULL GROUP BY ALL)"
 
 
 SQL_EDGES = f"""{SQL_LINES}, ed AS (
@@ -76,22 +101,31 @@ def sql_recency(last: str) -> str:
     return f"(CASE WHEN {age} <= 180 THEN 1.0::DOUBLE ELSE greatest(0.3::DOUBLE, 1.0::DOUBLE - ({age} - 180)::DOUBLE / 730.0::DOUBLE) END)"
 
 
-SQL_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in WEIGHTS.items()) + " WHEN 'shared_ip' THEN 85.0::DOUBLE ELSE 40.0::DOUBLE END"
+SQL_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in LINK_WEIGHTS.items()) + " ELSE 40.0::DOUBLE END"
 
 
 def sql_evidence(*kinds: str) -> str:
-    """CTEs up to ev: one row per pair, both ways, and shared selector."""
-    return f"""{sql_obs(*(kinds or LINK_KINDS))}, sel AS (SELECT kind, value, count(DISTINCT entity) AS degree FROM obs GROUP BY kind, value),
-    side AS (SELECT rd, kind, value, degree, min(first_seen) AS f, max(last_seen) AS l FROM obs JOIN sel USING (kind, value) WHERE degree <= 50 GROUP BY ALL),
-    ev AS (SELECT a, b, kind, value, degree, {SQL_WEIGHT} * {sql_rarity('degree')} * ov * re AS raw_weight, round({sql_rarity('degree')}, 3) AS rarity, round(ov, 3) AS time_overlap, round(re, 3) AS recency,
+    """CTEs up to ev: one row per pair, both ways, and what it shares; without
+    kinds, or with `shared_ip` among them, addresses too."""
+    addresses, codes = "", ""
+    if not kinds or "shared_ip" in kinds:
+        addresses = f"""UNION ALL SELECT rd, 'shared_ip', dst, degree, f, l FROM (
+        SELECT rd, dst, min(day) AS f, max(day) AS l, count(*) OVER (PARTITION BY dst) AS degree FROM (SELECT rd, day, s, unnest([s || '|' || substr(day, 1, 7), s || '|' || substr(day, 1, 4)]) AS dst FROM li) WHERE s NOT IN ({SQL_NOISY}) GROUP BY rd, dst) WHERE degree <= 50"""
+    if not kinds or "site_verification" in kinds:
+        codes = "WHERE NOT (kind = 'site_verification' AND EXISTS (SELECT 1 FROM ev0 u WHERE u.kind = 'dns_txt_token' AND u.a = ev0.a AND u.b = ev0.b AND lower(u.value) = lower(ev0.value)))"
+    plain = [k for k in kinds if k != "shared_ip"] or LINK_KINDS
+    return f"""{sql_obs(*plain)}, sel AS (SELECT kind, value, count(DISTINCT entity) AS degree FROM obs GROUP BY kind, value),
+    side AS (SELECT rd, kind, value, degree, min(first_seen) AS f, max(last_seen) AS l FROM obs JOIN sel USING (kind, value) WHERE degree <= 50 GROUP BY ALL {addresses}),
+    ev0 AS (SELECT a, b, kind, value, degree, {SQL_WEIGHT} * {sql_rarity('degree')} * ov * re AS raw_weight, round({sql_rarity('degree')}, 3) AS rarity, round(ov, 3) AS time_overlap, round(re, 3) AS recency,
       round({SQL_WEIGHT} * {sql_rarity('degree')} * ov * re, 2) AS weight FROM (
         SELECT x.rd AS a, y.rd AS b, x.kind, x.value, x.degree, {sql_overlap('x.f', 'x.l', 'y.f', 'y.l')} AS ov, {sql_recency('greatest(x.l, y.l)')} AS re
-        FROM side x JOIN side y ON x.kind = y.kind AND x.value = y.value AND x.rd <> y.rd))"""
+        FROM side x JOIN side y ON x.kind = y.kind AND x.value = y.value AND x.rd <> y.rd)),
+    ev AS (SELECT * FROM ev0 {codes})"""
 
 
 SQL_CONFIDENCE = "CAST(round_even(100.0::DOUBLE * t / (t + 65.0::DOUBLE), 0) AS INTEGER)"
 
 
 def sql_links(*kinds: str) -> str:
-    return f"""{sql_evidence(*kinds)}, lk AS (SELECT a, b, floor((u + 5000000) / 10000000.0::DOUBLE) / 100.0::DOUBLE AS score, {SQL_CONFIDENCE} AS confidence, CASE WHEN t >= 65 THEN 'strong' WHEN t >= 30 THEN 'moderate' ELSE 'weak' END AS strength, n_shared
-      FROM (SELECT a, b, u, u / 1000000000.0::DOUBLE AS t, n_shared FROM (SELECT a, b, CAST(sum(CAST(round(raw_weight * 1000000000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS u, count(*) AS n_shared FROM ev GROUP BY a, b)))"""
+    return f"""{sql_evidence(*kinds)}, lk AS (SELECT a, b, floor((u + 5000000) / 10000000.0::DOUBLE) / 100.0::DOUBLE AS score, {SQL_CONFIDENCE} AS confidence, CASE WHEN t >= 65 OR decisive THEN 'strong' WHEN t >= 30 THEN 'moderate' ELSE 'weak' END AS strength, n_shared
+      FROM (SELECT a, b, u, u / 1000000000.0::DOUBLE AS t, decisive, n_shared FROM (SELECT a, b, CAST(sum(CAST(round(raw_weight * 1000000000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS u, bool_or(kind = 'shared_ip' AND weight >= 50) AS decisive, count(*) AS n_shared FROM ev GROUP BY a, b)))"""

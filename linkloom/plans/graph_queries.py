@@ -25,14 +25,29 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge_entities(D.entity_rows(spark, sf))
 
 
-def all_links(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    obs = written(observations(spark, sf, *(kinds or D.LINK_KINDS)), "observations")  # read for degrees and for sides
-    return L.links(obs, entities(spark, sf), G.selectors(obs), D.AS_OF, D.WEIGHTS)
+def link_sides(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """Written sides of the links of some kinds; of none or with `shared_ip`, of
+    addresses too."""
+    plain = [k for k in kinds if k != "shared_ip"] or list(D.LINK_KINDS)
+    obs, owners = written(observations(spark, sf, *plain), "observations"), entities(spark, sf)  # read for degrees and for sides
+    if kinds and "shared_ip" not in kinds:
+        return written(L.sides(obs, owners, G.selectors(obs)), "sides")
+    rows = L.with_addresses(obs, G.merge_edges(D.edge_rows(spark, sf)))
+    return written(L.sides(rows, owners, G.selectors(rows, owners=owners, noisy=noisy(spark, sf))), "sides")
+
+
+def noisy(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses in networks that strangers share."""
+    networks = D.network_rows(spark, sf)
+    return L.noisy_addresses(networks, G.selectors(networks), D.address_context(spark, sf))
 
 
 def all_evidence(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    obs = written(observations(spark, sf, *(kinds or D.LINK_KINDS)), "observations")
-    return L.factors(L.shared(written(L.sides(obs, entities(spark, sf), G.selectors(obs)), "sides")), D.AS_OF, D.WEIGHTS)
+    return L.evidence(link_sides(spark, sf, *kinds), D.AS_OF, D.LINK_WEIGHTS)
+
+
+def all_links(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    return L.both_ways(written(L.assemble(all_evidence(spark, sf, *kinds)), "links"))
 
 
 # ---- build ----
@@ -149,9 +164,7 @@ def links_min_score(spark, sf):
 @query(f"WITH {D.sql_links()} SELECT a, b, score, confidence, strength, n_shared FROM lk WHERE a = (SELECT min(o_custkey::VARCHAR) FROM orders) ORDER BY score DESC, b LIMIT 1")
 def link_pair(spark, sf):
     first = D.table(spark, sf, "orders").agg(F.min(F.col("o_custkey").cast("string"))).first()[0]
-    obs = observations(spark, sf)
-    pairs = L.shared(written(L.sides(obs, entities(spark, sf), G.selectors(obs)), "sides"), F.col("rd") == first, F.lit(True))
-    found = L.assemble(L.factors(pairs, D.AS_OF, D.WEIGHTS))
+    found = L.assemble(L.evidence(link_sides(spark, sf), D.AS_OF, D.LINK_WEIGHTS, a=F.col("rd") == first, b=F.lit(True)))
     return found.orderBy(F.desc("score"), "b").limit(1).select("a", "b", "score", "confidence", "strength", "n_shared")
 
 
@@ -176,22 +189,21 @@ def verification_dedupe(spark, sf):
 
 
 _IP = f"""{D.SQL_EDGES}, side AS (SELECT rd, dst AS value, min(first_seen) AS f, max(last_seen) AS l FROM ed GROUP BY ALL), deg AS (SELECT value, count(DISTINCT rd) AS degree FROM side GROUP BY value),
- ok AS (SELECT side.*, degree, 'shared_ip' AS kind FROM side JOIN deg USING (value) WHERE degree BETWEEN 2 AND 50 AND CAST(split_part(value, '|', 1) AS BIGINT) % 10 <> 0)"""
+ ok AS (SELECT side.*, degree, 'shared_ip' AS kind FROM side JOIN deg USING (value) WHERE degree BETWEEN 2 AND 50 AND split_part(value, '|', 1) NOT IN ({D.SQL_NOISY}))"""
 
 
 @query(f"WITH {_IP} SELECT a, b, value, degree, rarity, time_overlap, recency, round(85.0::DOUBLE * rar * ov * re, 2) AS weight FROM (SELECT *, round(rar, 3) AS rarity, round(ov, 3) AS time_overlap, round(re, 3) AS recency FROM ("
        f"SELECT x.rd AS a, y.rd AS b, x.value, x.degree, {D.sql_rarity('x.degree')} AS rar, {D.sql_overlap('x.f', 'x.l', 'y.f', 'y.l')} AS ov, {D.sql_recency('greatest(x.l, y.l)')} AS re FROM ok x JOIN ok y ON x.value = y.value AND x.rd < y.rd))")
 def shared_ip_score(spark, sf):
     side = L.ip_sides(D.edge_rows(spark, sf), entities(spark, sf))
-    noisy = side.where(F.split_part("value", F.lit("|"), F.lit(1)).cast("long") % 10 == 0)
-    return L.shared_ips(side, noisy, D.AS_OF).select("a", "b", "value", "degree", "rarity", "time_overlap", "recency", "weight")
+    return L.shared_ips(side, noisy(spark, sf), D.AS_OF).select("a", "b", "value", "degree", "rarity", "time_overlap", "recency", "weight")
 
 
-@query(f"WITH {D.SQL_EDGES}, deg AS (SELECT dst AS ip, count(DISTINCT rd) AS degree FROM ed GROUP BY dst) SELECT ip, degree, CASE WHEN CAST(split_part(ip, '|', 1) AS BIGINT) % 10 = 0 THEN 'cdn' WHEN degree > 50 THEN 'pool' ELSE 'origin' END AS network FROM deg")
+@query(f"WITH {D.SQL_EDGES}, deg AS (SELECT dst AS ip, count(DISTINCT rd) AS degree FROM ed GROUP BY dst) SELECT ip, degree, CASE WHEN split_part(ip, '|', 1) IN ({D.SQL_NOISY}) THEN 'cdn' WHEN degree > 50 THEN 'pool' ELSE 'origin' END AS network FROM deg")
 def ip_network_class(spark, sf):
     degrees = G.ip_degrees(D.edge_rows(spark, sf), entities(spark, sf))
-    noisy = F.split_part("ip", F.lit("|"), F.lit(1)).cast("long") % 10 == 0
-    return degrees.withColumn("network", L.network_class(F.col("degree"), noisy))
+    marked = degrees.join(noisy(spark, sf).select(F.col("value").alias("ip"), F.lit(True).alias("noisy")), "ip", "left")
+    return marked.select("ip", "degree", L.network_class(F.col("degree"), F.coalesce("noisy", F.lit(False))).alias("network"))
 
 
 # ---- structure ----

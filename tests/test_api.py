@@ -8,8 +8,8 @@ from linkloom.operators import related as Rel
 
 
 def engine(spark):
-    cert = lambda k: {"sha256": k, "ip": "10.0.0.9", "not_before": "2024-01-01", "not_after": "2024-12-31", "sans": []}
-    scan = lambda h, *keys: (h, json.dumps({"input": h, "type": "domain", "timestamp": "2024-05-01", "tls_certs": {"probes": [cert(k) for k in keys]}}))
+    cert = lambda k, ip: {"sha256": k, "ip": ip, "not_before": "2024-01-01", "not_after": "2024-12-31", "sans": []}
+    scan = lambda h, *keys: (h, json.dumps({"input": h, "type": "domain", "timestamp": "2024-05-01", "tls_certs": {"probes": [cert(k, f"10.0.0.{ord(h[-6])}") for k in keys]}}))
     docs = P.parsed(spark.createDataFrame([scan("www.a.test", "k1"), scan("b.test", "k1", "k2"), scan("c.test", "k2"), scan("d.test", "k9")], "run string, json string"))
     o, e = P.observations(docs), P.edges(docs)
     tiers = spark.createDataFrame([("a.test", 2)], "rd string, tier int")
@@ -28,7 +28,7 @@ def test_reads(spark):
     assert [r.rd for r in x.pool(min_links=1, order="name", limit=2, offset=1).collect()] == ["b.test", "c.test"]
     assert [(r.cluster_id, r["size"]) for r in x.clusters().collect()] == [("a.test", 3)] and {r.rd for r in x.cluster("c.test").collect()} == {"a.test", "b.test", "c.test"}
     assert [(r.kind, r.groups) for r in x.selector_kinds().collect()] == [("tls_cert_sha256", 2)]
-    assert [(r.value, r.domains) for r in x.by_selector("tls_cert_sha256").collect()] == [("k1", ["a.test", "b.test"]), ("k2", ["b.test", "c.test"])]
+    assert [tuple(r) for r in x.by_selector("tls_cert_sha256").collect()] == [("k1", 2, "a.test"), ("k1", 2, "b.test"), ("k2", 2, "b.test"), ("k2", 2, "c.test")]
     assert [r.value for r in x.search("K").collect()] == ["k1", "k2", "k9"] and [r.value for r in x.search("b.t").collect()] == ["b.test"]
     assert [(r.entity, r.selectors) for r in x.domain("a.test").collect()] == [("a.test", 1)]
     assert Engine.evidence_catalog()[0] == {"kind": "tls_cert_sha256", "weight": 200.0, "label": "tls cert sha256"}
