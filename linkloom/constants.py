@@ -148,3 +148,81 @@ DEFAULT_SELECTORS = (
 # Numbers that templates carry, and wallets that nobody owns.
 PLACEHOLDER_PHONES = ("1234567", "1234567890", "12345678901", "0123456789", "9876543210", "5551234567", "15551234567", "5550100", "15555550100", "447700900000", "447700900123")
 NULL_WALLETS = ("0x0000000000000000000000000000000000000000", "0x000000000000000000000000000000000000dead", "1111111111111111111114olvt2", "1bitcoineateraddressdontsendf59kue")
+
+# ---- identifiers in scan documents ----
+
+_OPENID = ("issuer", "authorization_endpoint", "token_endpoint", "userinfo_endpoint", "jwks_uri", "registration_endpoint")
+_TRACKERS = {
+    "ga_property": ("google_analytics", "ga_ids"), "gtm_container": ("gtm_ids", "google_tag_manager"), "fb_pixel": ("facebook_pixel",), "tiktok_pixel": ("tiktok_pixel",), "yandex_metrika": ("yandex_metrika",),
+    "adsense_publisher": ("adsense_publisher_ids",), "fb_app_id": ("fb_app_id", "facebook_app_id"),
+}
+_ONE_OR_MORE = {
+    "dns/A": [("resolved_ip", "tier_2", "infrastructure")], "dns/AAAA": [("resolved_ip", "tier_2", "infrastructure")], "dns/CNAME": [("dns_alias", "tier_4", "dns")], "dns/MX": [("mx_host", "tier_4", "email")],
+    "dns/NS": [("nameserver", "tier_4", "nameserver")], "subdomains": [("subdomain_name", "tier_4", "dns")], "zone_transfer": [("subdomain_name", "tier_4", "dns")],
+    "whois/emails": [("registrant_email", "tier_3", "identity")], "whois/name": [("registrant_name", "tier_3", "identity")], "whois/nameservers": [("nameserver", "tier_4", "nameserver")],
+    "page_metadata/rel_me": [("rel_me_url", "tier_3", "social")], "page_metadata/authors": [("author", "tier_4", "social")], "page_metadata/twitter_site": [("twitter_site", "tier_3", "social")],
+    "page_metadata/twitter_creator": [("twitter_creator", "tier_3", "social")], "page_metadata/phone_numbers": [("contact_phone", "tier_3", "identity")],
+    "page_metadata/script_assets": [("script_asset_url", "tier_4", "content"), ("script_asset_host", "tier_4", "content")],
+    "email_security/spf_includes": [("spf_include", "tier_4", "email")], "email_security/dmarc_rua": [("dmarc_rua", "tier_3", "email")], "email_security/dmarc_ruf": [("dmarc_ruf", "tier_3", "email")],
+    "email_security/tls_rpt_rua": [("tls_rpt_rua", "tier_3", "email")], "email_security/dmarc_report_uris_by_tag/rua": [("dmarc_rua", "tier_3", "email")], "email_security/dmarc_report_uris_by_tag/ruf": [("dmarc_ruf", "tier_3", "email")],
+    "email_security/dmarc_report_uris/rua": [("dmarc_rua", "tier_3", "email")], "email_security/dmarc_report_uris/ruf": [("dmarc_ruf", "tier_3", "email")],
+    "crt_sh/cross_domain_sans": [("cross_san_domain", "tier_3", "tls_ct")], "cert_transparency/cross_domain_sans": [("cross_san_domain", "tier_3", "tls_ct")],
+    **{f"page_metadata/{k}": [(t, "tier_2", "tracking")] for t, keys in _TRACKERS.items() for k in keys},
+}
+#: What a leaf is by its whole path: type, tier, category. Lists may
+#: be single values as well.
+IDENTIFIER_PATHS = {
+    **_ONE_OR_MORE, **{f"{k}/[]": v for k, v in _ONE_OR_MORE.items()},
+    "dns/MX/[]/exchange": [("mx_host", "tier_4", "email")], "spf_origins/[]/ip": [("origin_ip", "tier_4", "email")], "subdomain_followups/[]/subdomain": [("subdomain_name", "tier_4", "dns")],
+    "historical_dns/records/[]/rdata": [("historical_ip", "tier_4", "infrastructure")],
+    "page_metadata/favicon_mmh3": [("favicon_mmh3", "tier_2", "content")], "page_metadata/favicon_md5": [("favicon_md5", "tier_3", "content")], "page_metadata/homepage_html_hash": [("homepage_html_hash", "tier_2", "content")],
+    "microsoft_tenant/tenant_guid": [("microsoft_tenant_guid", "tier_1", "identity")], "microsoft_tenant/tenant_id": [("microsoft_tenant_guid", "tier_1", "identity")],
+    "legal_pages/pages/[]/normalized_text_hash": [("legal_text_hash", "tier_2", "legal")], "legal_pages/[]/normalized_text_hash": [("legal_text_hash", "tier_2", "legal")],
+    "ssh_host_keys/probes/[]/fingerprint_sha256": [("ssh_host_key_sha256", "tier_1", "ssh")], "ssh_host_keys/probes/[]/md5": [("ssh_host_key_md5", "tier_2", "ssh")],
+    **{f"{at}/{k}": [(f"openid_{k}", "tier_2", "identity")] for at in ("microsoft_tenant", "well_known/openid_configuration") for k in _OPENID},
+    **{f"origin_candidates/{k}/[]/ip": [("origin_ip", "tier_4", "infrastructure")] for k in ("subdomain_leaks", "mx_leaks", "wordlist_leaks", "hackertarget", "urlscan")},
+    **{f"origin_candidates/{k}/hits/[]/ip": [("provider_ip", "tier_3", "infrastructure")] for k in ("censys", "shodan", "netlas")},
+    **{f"origin_candidates/{k}/hits/[]/hostnames/[]": [("provider_hostname", "tier_4", "infrastructure")] for k in ("censys", "shodan", "netlas")},
+    **{f"origin_candidates/{k}/hits/[]/ip": [("scan_ip", "tier_3", "infrastructure")] for k in ("scan", "provider_scan", "country_scan")},
+}
+ADDRESS_TYPES = ("resolved_ip", "historical_ip", "origin_ip", "provider_ip", "scan_ip")
+#: What a leaf is by a key on its way: pattern, type, tier, category,
+#: source, and whether the pattern's group goes before the value.
+IDENTIFIER_PATTERNS = (
+    (r"^page_metadata/social_handles/([^/]+)(?:/\[\])?$", "social_handle", "tier_3", "social", "page_metadata.social_handles", True),
+    (r"^page_metadata/crypto_wallets/([^/]+)(?:/\[\])?$", "crypto_wallet", "tier_1", "identity", "page_metadata.crypto_wallets", True),
+    (r"^page_metadata/social_links/([^/]+)(?:/\[\])?$", "social_url", "tier_4", "social", "page_metadata.social_links", False),
+    (r"^page_metadata/source_map_leaks/\[\](?:/(?:url|asset_url|source_map_url|map_url))?$", "source_map_url", "tier_3", "content", "page_metadata.source_map_leaks", False),
+    (r"^page_metadata/source_map_leaks/\[\](?:/(?:url|asset_url|source_map_url|map_url))?$", "source_map_host", "tier_4", "content", "page_metadata.source_map_leaks", False),
+    (r"^nameserver_analysis/vanity_candidates(?:/|$)", "nameserver_vanity", "tier_3", "nameserver", "nameserver_analysis.vanity_candidates", False),
+    (r"(?i)^well_known/apple_app_site_association/(?:.*/)?[^/]*(?:appid|app_id)", "apple_app_id", "tier_2", "identity", "well_known.apple_app_site_association", False),
+    (r"(?i)^well_known/assetlinks/(?:.*/)?[^/]*package", "android_package", "tier_2", "identity", "well_known.assetlinks", False),
+    (r"(?i)^well_known/assetlinks/(?:.*/)?[^/]*(?:sha256|fingerprint)", "android_cert_sha256", "tier_1", "identity", "well_known.assetlinks", False),
+    (r"(?i)^well_known/security_txt/(?:.*/)?[^/]*(?:contact|mail|email)", "contact_email", "tier_3", "policy", "well_known.security_txt", False),
+    (r"(?i)^(?:mail_client_config|mail_config)/[^/]+/(?:\[\]/)?(?:domains|parsed/(?:.*/)?[^/]*domain)", "mail_client_domain", "tier_3", "email", "mail_client_config", False),
+    (r"(?i)^(?:mail_client_config|mail_config)/[^/]+/(?:\[\]/)?(?:emails|parsed/(?:.*/)?[^/]*email)", "mail_client_email", "tier_3", "email", "mail_client_config", False),
+    (r"(?i)^(?:mail_client_config|mail_config)/[^/]+/(?:\[\]/)?(?:servers|parsed/(?:.*/)?[^/]*(?:server|host))", "mail_client_server", "tier_3", "email", "mail_client_config", False),
+    (r"(?i)^legal_pages/(?:.*/)?[^/]*mail", "contact_email", "tier_3", "legal", "legal_pages.contact", False),
+    (r"(?i)^legal_pages/(?:.*/)?[^/]*(?:phone|tel|mobile)", "legal_phone", "tier_3", "legal", "legal_pages.phone", False),
+    (r"(?i)^legal_pages/(?:.*/)?[^/]*(?:address|street|city|postal)", "legal_address", "tier_4", "legal", "legal_pages.address", False),
+    (r"(?i)^legal_pages/(?:.*/)?[^/]*(?:entity|company|organisation|organization|holder|owner)", "legal_entity", "tier_4", "legal", "legal_pages.entity", False),
+    (r"(?i)^legal_pages/(?:.*/)?[^/]*(?:vat|reg|company_number|company-id)", "legal_registration", "tier_3", "legal", "legal_pages.registration", False),
+)
+#: The same for branches where URLs, or all but URLs, count.
+IDENTIFIER_VALUE_PATTERNS = (
+    (r"(?i)^page_metadata/meta_tags/(?:.*/)?[^/]*(?:twitter:|og:|social|author)", "social_url", "tier_4", "social", "page_metadata.meta_tags", True),
+    (r"(?i)^page_metadata/meta_tags/(?:.*/)?[^/]*(?:twitter:|og:|social|author)", "meta_social_handle", "tier_4", "social", "page_metadata.meta_tags", False),
+    (r"^well_known/security_txt(?:/|$)", "policy_url", "tier_4", "policy", "well_known.security_txt", True),
+    (r"^(?:mail_client_config|mail_config)/", "mail_client_url", "tier_3", "email", "mail_client_config", True),
+    (r"^email_security/tls_rpt(?:/|$)", "tls_rpt", "tier_3", "policy", "email_security.tls_rpt", True),
+    (r"^email_security/bimi(?:/|$)", "bimi", "tier_3", "policy", "email_security.bimi", True),
+    (r"^email_security/mta_sts(?:/|$)", "mta_sts", "tier_3", "policy", "email_security.mta_sts", True),
+)
+#: Tokens in TXT records by provider.
+TXT_TOKENS = {
+    "google_site_verification": r"google-site-verification=([A-Za-z0-9._-]+)", "facebook_domain_verification": r"facebook-domain-verification=([A-Za-z0-9._-]+)", "microsoft": r"\bms=([A-Za-z0-9._-]+)",
+    "stripe_verification": r"stripe-verification=([A-Za-z0-9._-]+)", "apple_domain_verification": r"apple-domain-verification=([A-Za-z0-9._-]+)", "zoom_verification": r"zoom-domain-verification=([A-Za-z0-9._-]+)",
+    "atlassian_domain_verification": r"atlassian-domain-verification=([A-Za-z0-9._-]+)",
+}
+#: Paths of certificates; the group is what their identifiers name as source.
+CERTIFICATE_PLACES = r"^(tls_certs(?=/probes/\[\]/)|tls_cert(?=/)|non_cf_tls_certs(?=/\[\]/)|(?:crt_sh|cert_transparency)(?=/certs/\[\]/)|origin_candidates/(?:censys|shodan|netlas|scan|provider_scan|country_scan)(?=/hits/\[\]/))/(?:probes/\[\]/|certs/\[\]/|hits/\[\]/|\[\]/)?(?:[^/]+|sans/\[\])$"

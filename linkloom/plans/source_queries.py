@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dns as N
 from ..functions import identifiers as I
+from ..operators import document_walk as W
+from ..operators import identifiers as Ids
 from ..operators import projection as P
 from ..sources import documents as Docs
 from ..sources import targets as T
@@ -96,6 +98,48 @@ def document_certificates(spark, sf):
     return P.child_tables(P.parsed(order_documents(spark, sf)))["tls_certs"].select("run", "sha256", "ip").distinct()
 
 
+def nested_documents(spark, sf):
+    """order_documents, one or more for a customer, with more branches: handles,
+    wallets, app links inside lists of objects, a follow-up, legal pages."""
+    docs = order_documents(spark, sf).join(D.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("run"), "o_custkey", "o_orderpriority", F.concat(F.lit("Clerk#"), (F.col("o_orderkey") % 37).cast("string")).alias("o_clerk")), "run")
+    cust, clerk = F.col("o_custkey").cast("string"), F.col("o_clerk")
+    more = F.struct(
+        F.concat(F.lit("www.c"), cust, F.lit(".test")).alias("input"),
+        F.struct(F.array(F.concat(F.lit("8.8."), (F.col("o_custkey") % 200).cast("string"), F.lit(".8")), F.lit("10.0.0.1")).alias("A"), F.array(F.concat(F.lit("google-site-verification="), clerk)).alias("TXT")).alias("dns"),
+        F.struct(F.create_map(F.lit("Mastodon"), F.array(F.concat(F.lit("@"), clerk))).alias("social_handles"), F.create_map(F.lit("BTC"), F.concat(F.lit("bc1"), clerk)).alias("crypto_wallets")).alias("page_metadata"),
+        F.struct(F.array(F.struct(F.struct(F.concat(F.lit("app."), F.lower(F.substring("o_orderpriority", 3, 20))).alias("package_name"), F.array(F.upper(F.sha2(clerk, 256))).alias("sha256_cert_fingerprints")).alias("target"))).alias("assetlinks")).alias("well_known"),
+        F.struct(F.array(F.struct(F.lit("/imprint").alias("url"), F.struct(F.array(clerk).alias("company_names")).alias("owner"))).alias("pages")).alias("legal_pages"),
+        F.array(F.struct(F.concat(F.lit("mail.c"), cust, F.lit(".test")).alias("subdomain"), F.struct(F.struct(F.array(F.concat(F.lit("MX.c"), cust, F.lit(".test."))).alias("NS")).alias("dns")).alias("result"))).alias("subdomain_followups"),
+    )
+    merged = F.concat(F.regexp_replace(F.to_json(more), r"\}$", ","), F.lit('"timestamp":"'), F.get_json_object("json", "$.timestamp"), F.lit('","tls_certs":'), F.get_json_object("json", "$.tls_certs"), F.lit("}"))
+    return docs.select("run", merged.alias("json"))
+
+
+_STATE = f"""{D.SQL_LINES}, last AS (SELECT entity, rd, max(day) AS ts FROM li GROUP BY entity, rd QUALIFY row_number() OVER (PARTITION BY rd ORDER BY max(day) DESC, entity DESC) = 1),
+ o AS (SELECT last.*, 'c' || rd || '.test' AS domain, 'Clerk#' || (o_orderkey % 37) AS k, CAST(rd AS BIGINT) AS n, lower(substr(o_orderpriority, 3, 20)) AS p FROM last JOIN orders ON CAST(o_orderkey AS VARCHAR) = entity),
+ st AS (SELECT DISTINCT domain, type, tier, category, value FROM (
+  SELECT domain, 'resolved_ip' AS type, 'tier_2' AS tier, 'infrastructure' AS category, '8.8.' || (n % 200) || '.8' AS value FROM o
+  UNION ALL SELECT domain, 'dns_txt_token', 'tier_3', 'dns', 'google_site_verification|' || regexp_extract(lower(k), '^[a-z0-9._-]+') FROM o
+  UNION ALL SELECT domain, 'social_handle', 'tier_3', 'social', 'mastodon|' || lower(k) FROM o UNION ALL SELECT domain, 'crypto_wallet', 'tier_1', 'identity', 'btc|bc1' || k FROM o
+  UNION ALL SELECT domain, 'android_package', 'tier_2', 'identity', 'app.' || p FROM o UNION ALL SELECT domain, 'android_cert_sha256', 'tier_1', 'identity', sha256(k) FROM o
+  UNION ALL SELECT domain, 'legal_entity', 'tier_4', 'legal', lower(k) FROM o UNION ALL SELECT domain, 'subdomain_name', 'tier_4', 'dns', 'mail.c' || rd || '.test' FROM o
+  UNION ALL SELECT domain, 'nameserver', 'tier_4', 'nameserver', 'mx.c' || rd || '.test' FROM o
+  UNION ALL SELECT domain, 'tls_sha256', 'tier_1', 'tls', sha256(li.p || '|' || substr(day, 1, 7)) FROM o JOIN li USING (entity) UNION ALL SELECT domain, 'certificate_san', 'tier_4', 'tls', 'p' || li.p || '.test' FROM o JOIN li USING (entity)))"""
+
+
+@query(f"WITH {_STATE} SELECT domain, type, tier, category, value FROM st")
+def document_identifiers(spark, sf):
+    """Identifiers of the newest document of every customer."""
+    return W.identifier_state(nested_documents(spark, sf)).select("domain", "type", "tier", "category", "value")
+
+
+@query(f"WITH {_STATE}, f AS (SELECT type, category, value, count(DISTINCT domain) AS domains FROM st GROUP BY type, category, value) SELECT type, value, domains FROM f WHERE domains > 1")
+def document_frequency(spark, sf):
+    """How many customers hold each identifier of their newest documents."""
+    found = Ids.frequency(W.identifier_state(nested_documents(spark, sf)))
+    return found.where("domains > 1").select("type", "value", "domains")
+
+
 @query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'ab12ab12ab12ab12' WHEN 1 THEN 'me@own.test' WHEN 2 THEN '+4930123' || (1000 + c_custkey) WHEN 3 THEN 'https://host.test:8443/a/b' WHEN 4 THEN 'mx.own.test' ELSE 'some value' END AS value FROM customer""")
 def identifier_spelling(spark, sf):
     k, key = F.col("c_custkey") % 6, (F.col("c_custkey") + 1000).cast("string")
