@@ -33,12 +33,19 @@ _RAW = frozenset("script style title textarea noscript iframe template svg math
 #: Of these, those whose content is text to the page's end if they stay open.
 _TEXT_ONLY = frozenset("script style title textarea xmp noframes iframe".split())
 _BOILER_TAGS = frozenset("nav footer aside form button select option optgroup menu dialog search fieldset label".split())
-#: Any part of a class or id makes it boilerplate.
+#: Words of a class or id that make it boilerplate, alone or beside words of
+#: layout: "site-footer" is, "ad-lib" and "navigation-guide" are not.
 _BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent gdpr newsletter subscribe subscription signup comments disqus modal popup overlay toolbar login pagination pager".split())
 #: These only beside words of layout: "related-posts" is boilerplate, but
 #: "related-work" is not.
 _WEAK_WORDS = frozenset("banner promo promotion notice comment reply replies respond share sharing social related recommended widget copyright disclaimer skip more".split())
 _LAYOUT_WORDS = _WEAK_WORDS | frozenset("area articles bar block body box btn button buttons card cards col column container content entry feed form group header icons inner item items left link links list main media module news outer panel posts reading right row section site stories story text thread title top us wrap wrapper".split())
+#: More words of layout, and words after which a name tells what an element has
+#: or lacks, not what it is.
+_QUALIFIERS = _LAYOUT_WORDS | _BOILER_WORDS | frozenset("a active bg bottom center close desktop fixed float footer full global google header hero horizontal inline large lg local md meta mini mobile new open page primary responsive secondary sec sidebar slot sm small sticky sub tertiary unit utility v vertical web wide xs".split())
+_HAVING = frozenset("has have hide no non not show with without".split())
+#: What readers write, and asks of them: never the main text, however long.
+_NEVER = frozenset("comment comments cookie cookies consent disqus gdpr login newsletter popup replies reply respond signup subscribe subscription".split())
 _HEADER_WORDS = frozenset(["header", "headers", "topbar"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SCOPES = frozenset(["article", "main"])
@@ -52,43 +59,61 @@ STOP_WORDS = frozenset(
     ).split()
 )
 MIN_CHARS, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 0.5, 0.15, 0.3
+#: A form, or an element of a boilerplate name, is the page and no boilerplate if
+#: it has so many characters of good text and HOLDS times as many as the rest.
+FORM_CHARS, NAMED_CHARS, HOLDS = 140, 280, 3
 
 
 class Block:
     """A run of text without a block boundary."""
 
-    __slots__ = ("parts", "linked", "boiler", "scope", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "boiler", "scope", "heading", "text", "label", "soft", "main")
 
-    def __init__(self, boiler: bool, scope: int, heading: bool):
+    def __init__(self, boiler: bool, scope: int, heading: bool, soft: tuple[int, int] | None = None, main: bool = False):
         self.parts, self.linked, self.boiler, self.scope, self.heading, self.text, self.label = [], 0, boiler, scope, heading, "", None
+        self.soft, self.main = soft, main  # the one container that makes it boilerplate but may hold the page, and how much it must hold
 
 
-def _named_boiler(value: str, weak: bool) -> bool:
-    """Whether a class or id value names boilerplate."""
+def _named_boiler(value: str) -> str:
+    """Whether a class or id value names boilerplate: "never" is the main text,
+    "name" may hold it, or ""."""
+    found = ""
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if any(p in _BOILER_WORDS for p in parts) or weak and any(p in _WEAK_WORDS and p != "more" for p in parts) and all(p in _LAYOUT_WORDS for p in parts):
-            return True
-    return False
-
-
-def _is_boiler(name: str, attrs: str, in_scope: bool) -> bool:
-    if name in _BOILER_TAGS or name == "header" and not in_scope:
-        return True
+        if not parts or parts[0] in _HAVING:
+            continue
+        strong = any(p in _BOILER_WORDS for p in parts) and all(p in _QUALIFIERS for p in parts)
+        if strong or any(p in _WEAK_WORDS and p != "more" for p in parts) and all(p in _LAYOUT_WORDS for p in parts):
+            if any(p in _NEVER for p in parts):
+                return "never"
+            found = "name"
+    return found
+
+
+def _is_boiler(name: str, attrs: str, in_scope: bool) -> str:
+    """Why an element is boilerplate: "never", "form" or "name" (these two may
+    hold the page), or "" if it is none."""
+    if name in _BOILER_TAGS and name != "form" or name == "header" and not in_scope:
+        return "never"
+    why = "form" if name == "form" else ""
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return why
     for key, value in _ATTR.findall(attrs):
         key, raw = key.lower(), value.strip("\"'")
         value = raw.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "never"
         if key in ("class", "id"):
             if name == "article":
                 if set(_TOKEN.findall(value)) & {"comment", "comments", "ad", "advert", "sponsored"}:
-                    return True
-            elif _named_boiler(raw, True) or not in_scope and set(_TOKEN.findall(value)) & _HEADER_WORDS:
-                return True
-    return False
+                    return "never"
+            elif named := _named_boiler(raw):
+                if named == "never":
+                    return named
+                why = named
+            elif not in_scope and set(_TOKEN.findall(value)) & _HEADER_WORDS and not set(_TOKEN.findall(value)) & _HAVING:
+                why = why or "name"
+    return why
 
 
 class _Page:
@@ -142,16 +167,16 @@ def _plain(raw: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, boilerplate, scope
+    stack: list[tuple] = []  # open elements: name, boilerplate, scope, container that may hold the page, in main
     opened: dict[str, int] = {}  # how often each name is in the stack
-    boiler, scope, links, scopes = False, 0, 0, 0
+    boiler, scope, soft, in_main, links, scopes, softs = False, 0, None, False, 0, 0, 0
     block, ends = Block(False, 0, False), _Page(page)
 
     def flush(heading: bool) -> Block:
         block.text = _plain("".join(block.parts))
         if block.text:
             out.append(block)
-        return Block(boiler, scope, heading)
+        return Block(boiler, scope, heading, soft, in_main)
 
     def add(raw: str) -> None:
         if raw:
@@ -186,7 +211,7 @@ def blocks_of(page: str) -> list[Block]:
             if opened.get(name):
                 while pop() != name:
                     pass
-            boiler, scope = stack[-1][1:] if stack else (False, 0)
+            boiler, scope, soft, in_main = stack[-1][1:] if stack else (False, 0, None, False)
             if name in _BLOCK:
                 links = 0
                 block = flush(False)
@@ -207,8 +232,15 @@ def blocks_of(page: str) -> list[Block]:
             if name in _SCOPES:
                 scopes += 1
                 scope = scopes
-            boiler = (stack[-1][1] if stack else False) or _is_boiler(name, attrs, inside)
-            stack.append((name, boiler, scope))
+            in_main = in_main or name == "main"
+            if not boiler or soft:
+                why = _is_boiler(name, attrs, inside)
+                if why and (boiler or why == "never"):
+                    boiler, soft = True, None
+                elif why:
+                    softs += 1
+                    boiler, soft = True, (softs, FORM_CHARS if why == "form" else NAMED_CHARS)
+            stack.append((name, boiler, scope, soft, in_main))
             opened[name] = opened.get(name, 0) + 1
         if name in _BLOCK:
             links = 0
@@ -235,12 +267,37 @@ def _listed_script(text: str) -> bool:
     return text.isascii() or 2 * len(_LATIN.findall(text)) >= letters
 
 
+def _linked(b: Block) -> bool:
+    return b.linked > MAX_LINKS * max(1, len(b.text) - b.text.count(" "))
+
+
+def _release(blocks: list[Block]) -> None:
+    """Forms and named elements that hold the page are no boilerplate; what is
+    boilerplate inside them stays so."""
+    held: dict[tuple[int, int], int] = {}
+    if not any(b.soft for b in blocks):
+        return
+    free = 0
+    for b in blocks:
+        n = _length(b.text)
+        if b.boiler and not b.soft or n < MIN_CHARS or _linked(b) or _listed_script(b.text) and stop_density(b.text) < LOW_STOPS:
+            continue
+        if b.soft:
+            held[b.soft] = held.get(b.soft, 0) + n
+        else:
+            free += n
+    pages = {c for c, n in held.items() if n >= c[1] and n > HOLDS * (free + sum(held.values()) - n)}
+    for b in blocks:
+        if b.soft in pages:
+            b.boiler, b.soft = False, None
+
+
 def _first_pass(blocks: list[Block]) -> None:
     """True: main text, False: boilerplate, None: open."""
     dense: list[tuple[Block, int, float]] = []
     for b in blocks:
         n = _length(b.text)
-        if b.boiler or b.linked > MAX_LINKS * max(1, len(b.text) - b.text.count(" ")):
+        if b.boiler or _linked(b):
             b.label = False
         elif n < MIN_CHARS:
             b.label = None
@@ -298,14 +355,18 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
+    _release(blocks)
     _first_pass(blocks)
+    if not any(b.label or b.scope for b in blocks):  # a short page: what is no boilerplate is all there is
+        for b in blocks:
+            b.label = b.label is None
     long = sum(len(b.text) for b in blocks if b.label and not b.scope)
     _second_pass(blocks)
     good = [b for b in blocks if b.label]
     inside = [b for b in good if b.scope]
-    # Text outside article elements is none of it, unless they are several small
-    # ones beside a longer text.
-    if inside and (len({b.scope for b in inside}) == 1 or sum(len(b.text) for b in inside) >= long):
+    # Text outside article elements is none of it, unless they are small ones
+    # beside a longer text. A main element is always the page.
+    if inside and (any(b.main for b in inside) or sum(len(b.text) for b in inside) >= long):
         good = inside
     return " ".join(b.text for b in good)
 

@@ -116,3 +116,81 @@ def test_second_pass_against_brute_force():
                 want.append(any(first[j] for j in near if abs(j - i) == least))
         extraction._second_pass(blocks)
         assert [b.label for b in blocks] == want
+
+
+BODY = "It was in the spring that they came to the house by the river. " * 4
+TEXT = BODY.strip()
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "no-sidebar", "with-sidebar", "ad-lib", "navigation-guide article-body", "hasHeader", "footer-notes-essay"])
+def test_names_that_say_what_an_element_has(name):
+    assert extraction.main_text(f"<nav>{TEXT}</nav><div class='{name}'><p>{TEXT}</p></div>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["sidebar", "nav-primary", "site-footer", "cookie-banner", "ad", "ad-slot", "adsense", "main-navigation", "mobile-menu", "newsletter-signup", "header-top", "breadcrumbs"])
+def test_names_of_boilerplate_stay(name):
+    assert extraction.main_text(f"<div><p>{TEXT}</p></div><div class='{name}'><p>{TEXT}</p></div>") == TEXT
+
+
+def test_forms_around_the_page():
+    inner = f"<nav><a href=x>Home</a></nav><div><p>{TEXT}</p></div><div class=sidebar><p>{LONG}</p></div><div id=comments><p>{TEXT} {TEXT}</p></div>"
+    assert extraction.main_text(f"<form id='aspnetForm'>{inner}</form>") == TEXT
+    assert extraction.main_text(f"<div><p>{TEXT}</p></div><form><p>{TEXT}</p></form>") == TEXT
+    assert extraction.main_text(f"<div class='content-sidebar'><p>{TEXT} {TEXT}</p></div>") == f"{TEXT} {TEXT}"
+    assert extraction.main_text(f"<div class=comments><p>{TEXT} {TEXT}</p></div>") == ""
+
+
+def test_one_teaser_article():
+    assert extraction.main_text(f"<div><p>{TEXT}</p></div><article><p>Short teaser.</p></article>").startswith(TEXT)
+    assert extraction.main_text(f"<div><p>{LONG}</p></div><article><p>{TEXT}</p></article>") == TEXT
+    assert extraction.main_text(f"<div><p>{TEXT}</p></div><main><p>Short page.</p></main>") == "Short page."
+
+
+def test_short_pages_keep_their_text():
+    assert extraction.main_text("<div><h1>Short</h1><p>Just a short note.</p></div>") == "Short Just a short note."
+    assert extraction.main_text("<nav><a href=x>Home</a></nav><div><p>Just a short note.</p></div><footer>Foot</footer>") == "Just a short note."
+
+
+def test_given_pages_without_article_elements(spark, sf):
+    """The test pages with their article element as a plain one: density, length
+    and neighbours decide."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    same = near = 0
+    for page in pages:
+        plain = re.sub(r"<(/?)article>", r"<\1div>", page)
+        want, got = extraction.main_text(page), extraction.main_text(plain)
+        same += got == want
+        kept = sum(len(w) for w in want.split() if w in set(got.split()))
+        near += kept >= 0.9 * sum(map(len, want.split()))
+    assert near >= 0.8 * len(pages) and same >= 0.5 * len(pages)
+
+
+def test_first_pass_against_its_rules():
+    """Random block lists against the rules as the docstring has them."""
+    import random
+
+    r = random.Random(11)
+    texts = [LONG, LONG + " " + LONG, "Short.", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna.", RUSSIAN, "the " + "zzz " * 30, "of the in " + "zzz " * 20]
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(1, 10)):
+            b = extraction.Block(r.random() < 0.2, r.choice([0, 0, 1]), False)
+            b.text = r.choice(texts)
+            b.linked = r.choice([0, 0, len(b.text)])
+            blocks.append(b)
+        judged = [b for b in blocks if not b.boiler and not b.linked and len(b.text) >= 70 and b.text != RUSSIAN]
+        fit = 2 * sum(len(b.text) for b in judged if extraction.stop_density(b.text) >= 0.15) >= sum(len(b.text) for b in judged)
+        extraction._first_pass(blocks)
+        for b in blocks:
+            d = extraction.stop_density(b.text)
+            if b.boiler or b.linked:
+                want = False
+            elif len(b.text) < 70:
+                want = None
+            elif b.text == RUSSIAN or not fit:
+                want = True
+            elif d >= 0.3 or d >= 0.15 and (len(b.text) >= 140 or b.scope):
+                want = True
+            else:
+                want = None if b.scope or d >= 0.15 else False
+            assert b.label is want
