@@ -13,6 +13,7 @@ from .operators import components as C
 from .operators import graph_build as G
 from .operators import links as L
 from .operators import reads as R
+from .operators.suffixes import reentered
 from .storage import small, written
 
 
@@ -34,8 +35,11 @@ class Engine:
     address_context: DataFrame | None = None  # value, cloudflare, proxy_family, in_net, texts, flags, labels
     weights: dict[str, float] | None = None
     cfg: Config = CONFIG
+    suffix_rules: DataFrame | None = None  # suffix, rule, private: entities get their domains by them
 
     def __post_init__(self) -> None:
+        if self.suffix_rules is not None:
+            self.entities = written(reentered(self.entities, self.suffix_rules), "entities")
         self.recompute()
 
     def recompute(self) -> None:

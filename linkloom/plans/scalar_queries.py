@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dns as N
 from ..functions import host as H
 from ..functions import text as X
+from ..operators import suffixes as U
 from . import driver_graph as D
 from .registry import query
 
@@ -29,6 +30,19 @@ def entity_kind(spark, sf):
     return hosts.select("host", H.entity_kind(F.col("host")).alias("kind"), H.registrable_domain(F.col("host")).alias("rd"))
 
 
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT page_id, host, string_split(host, '.') AS l, len(string_split(host, '.')) AS n FROM h)
+SELECT page_id, host, CASE WHEN n < 2 THEN NULL WHEN host LIKE '%.example.org' AND length(l[n - 2]) % 2 = 1 THEN CASE WHEN n > 3 THEN array_to_string(list_slice(l, n - 3, n), '.') END
+  WHEN host LIKE '%.example.org' OR host LIKE '%.example.com' THEN array_to_string(list_slice(l, n - 2, n), '.') WHEN host = 'example.com' THEN NULL ELSE array_to_string(list_slice(l, n - 1, n), '.') END AS rd FROM l""")
+def suffix_apex(spark, sf):
+    """Hosts of pages by rules: a private suffix, a wildcard, and exceptions to
+    it for half of the names below."""
+    pages = D.table(spark, sf, "pages").select("page_id", H.host_of(F.col("url")).alias("host"))
+    names = pages.select(F.regexp_extract("host", r"([^.]+)\.example\.org$", 1).alias("name")).where("name <> '' AND length(name) % 2 = 0").distinct()
+    fixed = spark.createDataFrame([("com", "plain", False), ("org", "plain", False), ("net", "plain", False), ("example.com", "plain", True), ("example.org", "wildcard", True)], "suffix string, rule string, private boolean")
+    rules = fixed.unionByName(names.select(F.concat("name", F.lit(".example.org")).alias("suffix"), F.lit("exception").alias("rule"), F.lit(True).alias("private")))
+    return U.registrable(pages, "host", rules)
+
+
 @query(r"SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[/?#].*$', ''), '^[Ww][Ww][Ww]\.', '')), 'x^', '') AS target FROM pages")
 def cleaned_target(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", H.clean_target(F.col("url")).alias("target"))
