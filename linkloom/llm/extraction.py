@@ -10,6 +10,7 @@ in a language without a list, are judged by length and link density.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -250,10 +251,16 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+@functools.lru_cache(1 << 16)
+def _stops(word: str) -> bool | None:
+    """Whether a word is a stop word; None for what is no word."""
+    word = _EDGE.sub("", word).lower()
+    return word in STOP_WORDS if word else None
+
+
 def stop_density(text: str) -> float:
-    words = [_EDGE.sub("", w).lower() for w in text.split()]
-    words = [w for w in words if w]
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    kinds = [k for k in map(_stops, text.split()) if k is not None]
+    return sum(kinds) / len(kinds) if kinds else 0.0
 
 
 def _length(text: str) -> int:
@@ -274,9 +281,13 @@ def _linked(b: Block) -> bool:
 def _release(blocks: list[Block]) -> None:
     """Forms and named elements that hold the page are no boilerplate; what is
     boilerplate inside them stays so."""
-    held: dict[tuple[int, int], int] = {}
-    if not any(b.soft for b in blocks):
+    most: dict[tuple[int, int], int] = {}
+    for b in blocks:
+        if b.soft:
+            most[b.soft] = most.get(b.soft, 0) + _length(b.text)
+    if not any(n >= c[1] for c, n in most.items()):
         return
+    held: dict[tuple[int, int], int] = {}
     free = 0
     for b in blocks:
         n = _length(b.text)
