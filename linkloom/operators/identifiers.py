@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.scoring import one_of
+from ..functions.scoring import confidence, one_of
 
 
 def frequency(identifiers: DataFrame) -> DataFrame:
@@ -145,6 +145,45 @@ def pair_strength(paths: Column, confidence: Column, cert_quality: Column, platf
     return F.when(strong, "strong").when((confidence >= 35) | heavy, "moderate").otherwise("weak")
 
 
+def compare_pairs(matches: DataFrame, certificates: DataFrame | None = None, addresses: DataFrame | None = None, platforms: DataFrame | None = None, referrers: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """The whole comparison of document pairs: a, b, score, confidence, strength,
+    match_count, cert_quality, freshness, label_weight.
+
+    matches: of path_matches(); certificates: a, b, cert_quality; addresses: a, b,
+    freshness; platforms: doc, of documents on platforms whose keys are not their
+    owners'; referrers: a, b, ip, relationship; labels: of label_overlap(). A pair
+    is compared if any of matches, referrers and labels has it; what is not given
+    of it counts as n/a. Each table is summed by pair before they meet."""
+    none = F.lit("n/a")
+    pairs = matches.select("a", "b", "path")
+    pairs = pairs.withColumn("cert_quality", none) if certificates is None else pairs.join(certificates.select("a", "b", "cert_quality"), ["a", "b"], "left").fillna("n/a", ["cert_quality"])
+    pairs = pairs.withColumn("freshness", none) if addresses is None else pairs.join(addresses.select("a", "b", "freshness"), ["a", "b"], "left").fillna("n/a", ["freshness"])
+    pairs = pairs.withColumn("platform", F.lit(False))
+    for side in ("a", "b") if platforms is not None else ():
+        pairs = pairs.join(platforms.select(F.col("doc").alias(side)).distinct().withColumn("__on", F.lit(True)), side, "left").withColumn("platform", F.col("platform") | F.coalesce("__on", F.lit(False))).drop("__on")
+    weight = path_weight(F.col("path"), certificate_multiplier(F.col("cert_quality")), freshness_multiplier(F.col("freshness")), F.col("platform"))
+    summed = pairs.groupBy("a", "b").agg(F.sum(weight).alias("points"), F.count(F.lit(1)).alias("match_count"), F.collect_set("path").alias("paths"), F.first("cert_quality").alias("cert_quality"), F.first("freshness").alias("freshness"), F.first("platform").alias("platform"))
+    for name, table in (("bonus", referrers), ("label_weight", labels)):
+        if table is None:
+            summed = summed.withColumn(name, F.lit(0))
+        else:
+            points = referrer_bonus(F.col("relationship")) if name == "bonus" else F.col("weight")
+            summed = summed.join(table.groupBy("a", "b").agg(F.sum(points).alias(name)), ["a", "b"], "outer")
+    score = (F.coalesce("points", F.lit(0)) + F.coalesce("bonus", F.lit(0)) + F.coalesce("label_weight", F.lit(0))).cast("long")
+    scored = summed.withColumn("score", score).withColumn("confidence", confidence(score.cast("double")))
+    quality, fresh = F.coalesce("cert_quality", none), F.coalesce("freshness", none)
+    held = F.coalesce("paths", F.array().cast("array<string>"))
+    return scored.select(
+        "a", "b", "score", "confidence", pair_strength(held, F.col("confidence"), quality, F.coalesce("platform", F.lit(False))).alias("strength"), F.coalesce("match_count", F.lit(0)).cast("long").alias("match_count"),
+        quality.alias("cert_quality"), fresh.alias("freshness"), F.coalesce("label_weight", F.lit(0)).cast("long").alias("label_weight"),
+    )
+
+
+def referrer_bonus(relationship: Column) -> Column:
+    """What pages that refer to both documents add to their score."""
+    return F.when(relationship == "shared_referrer", 50).when(relationship == "both_third_party", 20).otherwise(0)
+
+
 # ---- discovery ----
 
 

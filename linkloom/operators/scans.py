@@ -209,10 +209,6 @@ def referrer_matches(hits: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("a", "b", "ip", relation.alias("relationship"))
 
 
-def referrer_bonus(relationship: Column) -> Column:
-    return F.when(relationship == "shared_referrer", 50).when(relationship == "both_third_party", 20).otherwise(0)
-
-
 def candidate_selectors(docs: DataFrame, sources: Sequence[tuple[str, str, str]]) -> DataFrame:
     """What a search for hosts can ask about, from page fields: each (kind,
     value) once, the first field that has it. docs: run and array columns;

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import components as C
 from ..operators import identifiers as I
+from ..storage import written
 from . import driver_graph as D
 from .registry import query
 
@@ -72,8 +73,6 @@ _TRAVERSE = f"""{_COMPARE}, ed AS (SELECT a, b FROM cp WHERE score >= 20 UNION A
 
 @query(f"WITH {_TRAVERSE} SELECT node, h AS hop_distance FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2)")
 def traverse_depth2(spark, sf):
-    from ..storage import written
-
     found = identifiers(spark, sf)
     pairs = written(I.compare(found, I.frequency(found), timing(spark, sf)).where("score >= 20").select("a", "b", "score"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
@@ -130,6 +129,41 @@ def pair_strength(spark, sf):
     return s.select("a", "b", I.pair_strength(F.col("paths"), confidence(F.col("score").cast("double")), F.lit("n/a"), F.lit(False)).alias("strength"))
 
 
+_CERT = K.CERT_PATHS[0]
+_WEIGHTS = "CASE path " + " ".join(f"WHEN '{p}' THEN {K.PATH_WEIGHTS.get(p, K.DEFAULT_PATH_WEIGHT)}" for p in (_CERT, K.SSH_PATH, "dns.A", "dns.NS", "other.path")) + " END::DOUBLE"
+
+
+def _pair_tables(spark, sf):
+    """Matches of orders with certificates and keys too, and what is known of the
+    pairs: quality and freshness by the first order, referrers by both."""
+    doc, day = F.col("l_orderkey").cast("string").alias("doc"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    li, o = D.table(spark, sf, "lineitem"), D.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+    keys = F.array(F.struct(F.lit(_CERT).alias("path"), F.concat_ws("|", "l_partkey", day).alias("value")), F.struct(F.lit(K.SSH_PATH).alias("path"), F.concat_ws("|", "l_suppkey", day).alias("value")))
+    known = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    found = written(I.path_matches(facts(spark, sf).unionByName(li.join(known, "l_orderkey", "left_semi").select(doc, F.explode(keys).alias("f")).select("doc", "f.*"))), "matches")
+    pairs = found.select("a", "b").distinct().join(o.select(F.col("doc").alias("a"), F.col("o_orderstatus").alias("sa"), F.col("o_totalprice").alias("pa")), "a").join(o.select(F.col("doc").alias("b"), F.col("o_orderstatus").alias("sb")), "b")
+    certificates = pairs.select("a", "b", I.certificate_quality(F.lit(True), F.col("pa") >= 100000, F.col("sa") == "F").alias("cert_quality"))
+    addresses = pairs.select("a", "b", F.when(F.col("pa") < 50000, "historical").when(F.col("pa") < 150000, "mixed").otherwise("current").alias("freshness"))
+    referrers = pairs.where("sa = 'P'").select("a", "b", F.lit("x").alias("ip"), F.when(F.col("sb") == "P", "shared_referrer").when(F.col("sb") == "O", "both_third_party").otherwise("mixed").alias("relationship"))
+    labels = I.label_overlap(li.join(known, "l_orderkey", "left_semi").select(F.col("l_orderkey").cast("string").alias("owner"), F.concat_ws("|", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM")).alias("label")))
+    return found, certificates, addresses, o.where("o_orderpriority LIKE '1%'").select("doc"), referrers, labels
+
+
+@query(f"""WITH {_FACTS}, fk AS (SELECT DISTINCT doc, path, value FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc, unnest(['{_CERT}', '{K.SSH_PATH}']) AS path, unnest([l_partkey || '|' || strftime(l_shipdate, '%Y-%m-%d'), l_suppkey || '|' || strftime(l_shipdate, '%Y-%m-%d')]) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))),
+ mt AS (SELECT a, b, path FROM pm UNION ALL SELECT x.doc, y.doc, x.path FROM fk x JOIN fk y ON x.path = y.path AND x.value = y.value AND x.doc < y.doc GROUP BY ALL),
+ od AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc, o_orderstatus AS s, o_totalprice AS p, o_orderpriority LIKE '1%' AS f FROM orders),
+ pr AS (SELECT a, b, x.s AS sa, y.s AS sb, CASE WHEN x.s = 'F' THEN 'junk' WHEN x.p < 100000 THEN 'weak' ELSE 'strong' END AS cert_quality, CASE WHEN x.p < 50000 THEN 'historical' WHEN x.p < 150000 THEN 'mixed' ELSE 'current' END AS freshness, x.f OR y.f AS platform FROM (SELECT DISTINCT a, b FROM mt) JOIN od x ON x.doc = a JOIN od y ON y.doc = b),
+ w AS (SELECT a, b, path, cert_quality, freshness, platform, sa, sb, CAST(trunc({_WEIGHTS} * CASE WHEN path = '{_CERT}' THEN cm WHEN path = '{K.SSH_PATH}' THEN cm * CASE WHEN platform THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END WHEN path = 'dns.A' THEN im ELSE 1.0::DOUBLE END) AS BIGINT) AS w
+   FROM (SELECT mt.a, mt.b, path, cert_quality, freshness, platform, sa, sb, CASE cert_quality WHEN 'junk' THEN 0.0::DOUBLE WHEN 'weak' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS cm, CASE freshness WHEN 'historical' THEN 0.3::DOUBLE WHEN 'mixed' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS im FROM mt JOIN pr USING (a, b))),
+ lb AS (SELECT x.doc AS a, y.doc AS b, least(40, 8 * count(*)) AS lw FROM ft x JOIN ft y ON x.path = 'dns.NS' AND y.path = 'dns.NS' AND x.value = y.value AND x.doc < y.doc GROUP BY 1, 2),
+ cm AS (SELECT a, b, sum(w) + CASE WHEN any_value(sa) = 'P' AND any_value(sb) = 'P' THEN 50 WHEN any_value(sa) = 'P' AND any_value(sb) = 'O' THEN 20 ELSE 0 END + coalesce(any_value(lw), 0) AS score, count(*) AS match_count, any_value(cert_quality) AS cert_quality, any_value(freshness) AS freshness, any_value(platform) AS platform, coalesce(any_value(lw), 0) AS label_weight,
+   bool_or(path = '{_CERT}') AS hc, bool_or(path = '{K.SSH_PATH}') AS hs, bool_or({_WEIGHTS} >= 30) AS heavy FROM w LEFT JOIN lb USING (a, b) GROUP BY a, b)
+SELECT a, b, CAST(score AS BIGINT) AS score, confidence, CASE WHEN (cert_quality = 'strong' AND hc) OR (hs AND NOT platform) OR confidence >= 65 THEN 'strong' WHEN confidence >= 35 OR heavy THEN 'moderate' ELSE 'weak' END AS strength, match_count, cert_quality, freshness, CAST(label_weight AS BIGINT) AS label_weight
+FROM (SELECT *, CAST(round_even(100.0::DOUBLE * score / (score + 65.0::DOUBLE), 0) AS INTEGER) AS confidence FROM cm)""")
+def pair_compare(spark, sf):
+    return I.compare_pairs(*_pair_tables(spark, sf))
+
+
 @query("WITH l AS (SELECT DISTINCT o_custkey AS owner, l_partkey AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT x.owner AS a, y.owner AS b, count(*) AS n_labels FROM l x JOIN l y ON x.label = y.label AND x.owner < y.owner GROUP BY 1, 2) SELECT a, b, n_labels, CAST(least(40, 8 * n_labels) AS INTEGER) AS weight FROM p")
 def label_overlap(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"))

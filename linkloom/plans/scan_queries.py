@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import host as H
 from ..functions import signals as S
+from ..operators import identifiers as Ids
 from ..operators import scans as X
 from . import driver_graph as D
 from .registry import query
@@ -157,7 +158,7 @@ def referrer_matches(spark, sf):
     li = D.table(spark, sf, "lineitem")
     hits = li.select(F.col("l_suppkey").alias("doc"), F.struct("l_orderkey", "l_linenumber").alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ip"), (F.col("l_orderkey") % 3).cast("string").alias("url"), (F.col("l_orderkey") % 2 == 0).alias("third_party"))
     pairs = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
-    return X.referrer_matches(hits, pairs).withColumn("bonus", X.referrer_bonus(F.col("relationship")))
+    return X.referrer_matches(hits, pairs).withColumn("bonus", Ids.referrer_bonus(F.col("relationship")))
 
 
 @query("SELECT c_custkey AS run, 'ga' AS kind, 'g' || c_custkey % 3 AS value, 'one' AS field, 'tracking' AS class FROM customer UNION ALL SELECT c_custkey, 'icon', 'g1', 'three', 'content' FROM customer UNION ALL SELECT c_custkey, 'ga', 'g1', 'two', 'tracking' FROM customer WHERE c_custkey % 3 <> 1")

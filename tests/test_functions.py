@@ -50,8 +50,8 @@ def test_markup(spark):
     assert values(spark, X.html_text, [page]) == ["A & B One two three <4>"]
     assert values(spark, X.html_lang, [page]) == ["en-us"] and values(spark, X.html_title, [page]) == ["A &amp; B"]
     assert values(spark, X.text_hash, ["A  b\n", "a b"]) == [hashlib.sha256(b"a b").hexdigest()] * 2
-    ids = values(spark, X.tag_ids, ["UA-12345-1 G-ABCDEFGH12 'GTM-ABC123' ca-pub-1234567890123456 fbq('init', '1234567890123') ym(123456, x)", "file-UA-12345-1.png GTM-ABC123-old pub-123"])
-    assert [list(x) for x in ids] == [[["G-ABCDEFGH12", "UA-12345-1"], ["GTM-ABC123"], ["pub-1234567890123456"], ["1234567890123"], ["123456"]], [[], [], [], [], []]]
+    named = "caf&eacute; &#8364;5 &hellip; &amp;lt; &NotEqualTilde; &nope; &#x41;&nbsp;z"
+    assert values(spark, X.html_text, [named, None, "plain"]) == ["café €5 … &lt; ≂̸ &nope; A z", None, "plain"]
 
 
 def test_phones(spark):
