@@ -158,10 +158,15 @@ def _pair_tables(spark, sf):
  lb AS (SELECT x.doc AS a, y.doc AS b, least(40, 8 * count(*)) AS lw FROM ft x JOIN ft y ON x.path = 'dns.NS' AND y.path = 'dns.NS' AND x.value = y.value AND x.doc < y.doc GROUP BY 1, 2),
  cm AS (SELECT a, b, sum(w) + CASE WHEN any_value(sa) = 'P' AND any_value(sb) = 'P' THEN 50 WHEN any_value(sa) = 'P' AND any_value(sb) = 'O' THEN 20 ELSE 0 END + coalesce(any_value(lw), 0) AS score, count(*) AS match_count, any_value(cert_quality) AS cert_quality, any_value(freshness) AS freshness, any_value(platform) AS platform, coalesce(any_value(lw), 0) AS label_weight,
    bool_or(path = '{_CERT}') AS hc, bool_or(path = '{K.SSH_PATH}') AS hs, bool_or({_WEIGHTS} >= 30) AS heavy FROM w LEFT JOIN lb USING (a, b) GROUP BY a, b)
-SELECT a, b, CAST(score AS BIGINT) AS score, confidence, CASE WHEN (cert_quality = 'strong' AND hc) OR (hs AND NOT platform) OR confidence >= 65 THEN 'strong' WHEN confidence >= 35 OR heavy THEN 'moderate' ELSE 'weak' END AS strength, match_count, cert_quality, freshness, CAST(label_weight AS BIGINT) AS label_weight
-FROM (SELECT *, CAST(round_even(100.0::DOUBLE * score / (score + 65.0::DOUBLE), 0) AS INTEGER) AS confidence FROM cm)""")
+SELECT a, count(*) AS n_pairs, CAST(sum(score) AS BIGINT) AS score, max(score)::BIGINT AS best, CAST(sum(confidence) AS BIGINT) AS confidence, count(*) FILTER (WHERE strength = 'strong') AS strong, count(*) FILTER (WHERE strength = 'moderate') AS moderate, CAST(sum(match_count) AS BIGINT) AS matches, CAST(sum(label_weight) AS BIGINT) AS label_weight FROM (
+ SELECT a, b, CAST(score AS BIGINT) AS score, confidence, CASE WHEN (cert_quality = 'strong' AND hc) OR (hs AND NOT platform) OR confidence >= 65 THEN 'strong' WHEN confidence >= 35 OR heavy THEN 'moderate' ELSE 'weak' END AS strength, match_count, cert_quality, freshness, CAST(label_weight AS BIGINT) AS label_weight
+FROM (SELECT *, CAST(round_even(100.0::DOUBLE * score / (score + 65.0::DOUBLE), 0) AS INTEGER) AS confidence FROM cm)) GROUP BY a""")
 def pair_compare(spark, sf):
-    return I.compare_pairs(*_pair_tables(spark, sf))
+    """All pairs compared, summed by their first document."""
+    of = lambda kind: F.count(F.when(F.col("strength") == kind, 1)).alias(kind)
+    return I.compare_pairs(*_pair_tables(spark, sf)).groupBy("a").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum("score").alias("score"), F.max("score").alias("best"), F.sum("confidence").alias("confidence"), of("strong"), of("moderate"), F.sum("match_count").alias("matches"), F.sum("label_weight").alias("label_weight")
+    )
 
 
 @query("WITH l AS (SELECT DISTINCT o_custkey AS owner, l_partkey AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT x.owner AS a, y.owner AS b, count(*) AS n_labels FROM l x JOIN l y ON x.label = y.label AND x.owner < y.owner GROUP BY 1, 2) SELECT a, b, n_labels, CAST(least(40, 8 * n_labels) AS INTEGER) AS weight FROM p")
