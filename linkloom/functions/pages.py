@@ -172,12 +172,23 @@ def script_disclosures(scripts: Column, url: Column) -> Column:
     return F.struct(_distinct(F.transform(maps, lambda m: absolute(url, m))).alias("source_map_urls"), bundlers.alias("bundlers"))
 
 
+def json_telephones(script: Column) -> Column:
+    """Values of `telephone` at any depth of a JSON text. The text is written anew
+    from what was parsed, in which a quote inside a string is escaped and a key
+    is followed by a colon at once: so this finds keys and nothing else. Not JSON
+    (or a key twice in one object): none."""
+    plain = F.to_json(F.try_parse_json(script))
+    held = F.regexp_extract_all(plain, F.lit(r'(?<!\\)"telephone":"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    values = F.flatten(F.transform(held, lambda v: F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), _LIST)))
+    return F.coalesce(values, F.array().cast(_LIST))
+
+
 def declared_phones(markup: Column, scripts: Column, meta: Column) -> Column:
     """Numbers that a page declares: tel: links, structured data, meta tags and
     microdata; normal form, sorted."""
     hrefs = F.transform(tags(markup, "a"), lambda t: attribute(t, "href"))
-    links = F.transform(F.filter(hrefs, lambda h: h.rlike(r"(?i)^(?:tel|callto):")), lambda h: F.regexp_replace(h, r"(?i)^(?:tel|callto):/*", ""))
-    data = F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(r'"(?:telephone|faxNumber)"\s*:\s*"([^"]{5,40})"'), F.lit(1))))
+    links = F.transform(F.filter(hrefs, lambda h: h.rlike(r"(?i)^(?:tel|callto|sms):")), lambda h: F.regexp_replace(h, r"(?i)^(?:tel|callto|sms):/*", ""))
+    data = F.flatten(F.transform(F.filter(scripts, lambda s: F.lower(s).contains("telephone")), json_telephones))
     micro = F.transform(F.filter(F.regexp_extract_all(markup, F.lit(r"(?is)<([a-z][^<>]*\sitemprop\s*=\s*[\"']?telephone\b[^<>]*)>"), F.lit(1)), lambda t: F.coalesce(attribute(t, "content"), attribute(t, "href")).isNotNull()), lambda t: F.regexp_replace(F.coalesce(attribute(t, "content"), attribute(t, "href")), "^tel:", ""))
     inner = F.regexp_extract_all(markup, F.lit(r"(?is)<[a-z][^<>]*\sitemprop\s*=\s*[\"']?telephone\b[^<>]*>([^<]{5,60})<"), F.lit(1))
     named = F.flatten(F.array(*[F.coalesce(F.element_at(meta, k), F.array().cast(_LIST)) for k in ("og:phone_number", "business:contact_data:phone_number", "telephone", "phone", "contact:phone_number")]))
@@ -230,6 +241,6 @@ def homepages(pages: DataFrame, markup: str, url: str) -> DataFrame:
         "social_meta": F.map_filter("meta_tags", lambda k, v: k.rlike("^(?:og|twitter|fb|article|profile):")), "site_verifications": _grouped(F.filter(proofs, lambda p: p["k"].isNotNull())), "meta_tags": F.col("meta_tags"),
         "rel_me_links": F.col("rel_me_links"), "canonical_url": F.get(canonical, F.size(canonical) - 1)["href"], "favicon_links": F.col("favicon_links"), "script_assets": F.col("script_assets"),
         "script_urls": F.transform("script_assets", lambda a: a["url"]), "script_asset_hosts": _distinct(F.transform("script_assets", lambda a: a["host"])), "inline_source_map_urls": F.col("__said.source_map_urls"),
-        "inline_bundlers": F.col("__said.bundlers"), "homepage_text_hash": F.when(page != "", X.text_hash(F.col("__text"))), "phone_numbers": F.array_sort(F.array_union(declared_phones(F.col("__bare"), F.col("__scripts"), F.col("meta_tags")), X.phones_in(F.col("__text")))),
+        "inline_bundlers": F.col("__said.bundlers"), "homepage_text_hash": F.when(page != "", X.text_hash(F.col("__text"))), "phone_numbers": F.array_sort(F.array_union(declared_phones(F.col("__bare"), F.col("__scripts"), F.col("meta_tags")), X.phones_said(F.col("__text")))),
     }
     return steps.select(*names, *[c.alias(k) for k, c in fields.items()])

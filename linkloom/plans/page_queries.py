@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import legal as L
 from ..functions import pages as P
 from ..functions import wellknown as W
 from . import driver_graph as D
@@ -56,3 +57,55 @@ def app_links(spark, sf):
     many = F.concat(F.lit('[{"relation":["r1"],"target":{"package_name":"app.own'), key, F.lit('"}},{"relation":["r1"],"target":{"site":"https://own.test"}}]'))
     text = F.when(k == 0, many).when(k == 1, '{"target":{"package_name":"one.app"}}').otherwise("not json")
     return D.table(spark, sf, "customer").select("c_custkey", W.assetlinks(text).alias("a")).select("c_custkey", F.array_join("a.package_names", ",").alias("packages"), F.array_join("a.sites", ",").alias("sites"))
+
+
+_SAID = r"""trim(regexp_replace(x, '\s+', ' ', 'g'))"""
+_FLAT = r"""replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'),
+ '(?i)</?(p|div|section|article|header|footer|main|aside|nav|ul|ol|li|table|thead|tbody|tfoot|tr|td|th|address|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+_PATTERN = {k: "'" + getattr(L, k).replace("'", "''") + "'" for k in ("LABELLED_NAME", "NAME_WITH_FORM", "THIRD_PARTIES", "REGISTRATION_LINE", "REGISTRATION_ID", "VAT_ID", "STREET", "ADDRESS_LABEL", "POSTCODE", "MAIL", "IDENTITY_PAGE", "PRIVACY_PAGE")}
+
+
+def imprints(spark, sf):
+    """The pages, each with a customer named as its operator above its text; every
+    third says so where it names others too."""
+    p, key = D.table(spark, sf, "pages"), F.col("page_id").cast("string")
+    c = D.table(spark, sf, "customer").select((F.col("c_custkey") - 1).alias("page_id"), "c_name", F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("place"))
+    head = F.concat(
+        F.lit("<div>Responsible for content:</div><div>"), F.col("c_name"), F.lit("</div><p>North "), F.translate("c_name", "#0123456789", " ABCDEFGHIJ"), F.lit(" Trading Ltd and Akamai Inc</p><p>Commercial register HRB "), key,
+        F.lit(" VAT: DE "), F.lpad(key, 9, "8"), F.lit("</p><p>Registered office: "), F.col("place"), F.lit("</p><p>"), F.lpad(key, 5, "1"), F.lit(" Town<br>Street "), key, F.lit("</p><p>Order no "), key,
+        F.lit("</p><p>Mail C"), key, F.lit("@own.test, c"), key, F.lit("@own.test</p><article>"),
+    )
+    url = F.concat(F.regexp_replace("url", r"^([a-z]+://[^/?#]*).*$", "$1"), F.when(F.col("page_id") % 3 == 0, "/legal/privacy").otherwise("/legal/imprint?x=privacy"))
+    html = F.regexp_replace(F.col("html"), F.lit("<article>"), F.coalesce(head, F.lit("<article>")))
+    return p.join(c, "page_id", "left").select("page_id", url.alias("url"), html.alias("html"))
+
+
+@query(f"""WITH src AS (SELECT p.page_id, regexp_replace(url, '^([a-z]+://[^/?#]*).*$', '\\1') || CASE WHEN p.page_id % 3 = 0 THEN '/legal/privacy' ELSE '/legal/imprint' END AS url,
+  replace(html, '<article>', coalesce('<div>Responsible for content:</div><div>' || c_name || '</div><p>North ' || translate(c_name, '#0123456789', ' ABCDEFGHIJ') || ' Trading Ltd and Akamai Inc</p><p>Commercial register HRB ' || p.page_id
+   || ' VAT: DE ' || lpad(CAST(p.page_id AS VARCHAR), 9, '8') || '</p><p>Registered office: ' || c_mktsegment || ' ' || c_nationkey || '</p><p>' || lpad(CAST(p.page_id AS VARCHAR), 5, '1') || ' Town<br>Street ' || p.page_id || '</p><p>Order no ' || p.page_id
+   || '</p><p>Mail C' || p.page_id || '@own.test, c' || p.page_id || '@own.test</p><article>', '<article>')) AS html FROM pages p LEFT JOIN customer ON c_custkey = p.page_id + 1),
+ ls AS (SELECT page_id, regexp_matches(url, {_PATTERN["IDENTITY_PAGE"]}) AND NOT regexp_matches(url, {_PATTERN["PRIVACY_PAGE"]}) AS named, list_filter(list_transform(string_split({_FLAT}, chr(10)), lambda x: {_SAID}), lambda x: x <> '') AS l FROM src),
+ line AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM ls WHERE named),
+ pair AS (SELECT page_id, i, x, lead(x) OVER (PARTITION BY page_id ORDER BY i) AS y FROM line),
+ street AS (SELECT page_id, i, y, CASE WHEN regexp_matches(x, {_PATTERN["ADDRESS_LABEL"]}) THEN CASE WHEN trim(regexp_replace(x, '^[^:]*:', '')) = '' THEN x ELSE trim(regexp_replace(x, '^[^:]*:', '')) END ELSE x END AS c FROM pair WHERE regexp_matches(x, {_PATTERN["ADDRESS_LABEL"]}) OR regexp_matches(x, {_PATTERN["STREET"]})),
+ addr AS (SELECT page_id, i, trim(CASE WHEN y IS NOT NULL AND regexp_matches(y, {_PATTERN["POSTCODE"]}) AND NOT contains(c, y) THEN c || ', ' || y ELSE c END, ' ,;:|') AS v FROM street),
+ addr1 AS (SELECT page_id, v, min(i) AS i FROM addr WHERE v <> '' AND length(v) <= 120 AND len(string_split(v, ' ')) <= 18 AND NOT regexp_matches(v, {_PATTERN["THIRD_PARTIES"]}) GROUP BY ALL),
+ addr3 AS (SELECT page_id, string_agg(v, '|' ORDER BY i) AS addresses FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS r FROM addr1) WHERE r <= 3 GROUP BY page_id),
+ reg AS (SELECT page_id, i, k, unnest(vs) AS v, generate_subscripts(vs, 1) AS j FROM (SELECT page_id, i, 0 AS k, regexp_extract_all(x, {_PATTERN["REGISTRATION_ID"]}, 1) AS vs FROM line WHERE regexp_matches(x, {_PATTERN["REGISTRATION_LINE"]})
+  UNION ALL SELECT page_id, i, 1, regexp_extract_all(x, {_PATTERN["VAT_ID"]}, 1) FROM line WHERE regexp_matches(x, {_PATTERN["REGISTRATION_LINE"]}))),
+ reg1 AS (SELECT page_id, i, j, k, CASE WHEN k = 0 THEN upper(trim(regexp_replace(v, '\\s+', ' ', 'g'))) ELSE upper(regexp_replace(v, '[ ./-]', '', 'g')) END AS v FROM reg),
+ reg2 AS (SELECT page_id, v, min(10000 * i + 1000 * k + j) AS i FROM reg1 WHERE k = 0 OR regexp_matches(v, '^[A-Z]{{2}}[A-Z0-9][0-9]{{6,12}}$') GROUP BY ALL),
+ ids AS (SELECT page_id, string_agg(v, '|' ORDER BY i) AS ids FROM reg2 GROUP BY page_id),
+ whole AS (SELECT page_id, named, array_to_string(l, chr(10)) AS t FROM ls),
+ name AS (SELECT page_id, 0 AS k, unnest(regexp_extract_all(t, {_PATTERN["LABELLED_NAME"]}, 1)) AS v, generate_subscripts(regexp_extract_all(t, {_PATTERN["LABELLED_NAME"]}, 1), 1) AS i FROM whole WHERE named
+  UNION ALL SELECT page_id, 1, unnest(regexp_extract_all(t, {_PATTERN["NAME_WITH_FORM"]}, 1)), generate_subscripts(regexp_extract_all(t, {_PATTERN["NAME_WITH_FORM"]}, 1), 1) FROM whole WHERE named),
+ name1 AS (SELECT page_id, v, min(1000000 * k + i) AS i FROM (SELECT page_id, k, i, trim(v, ' ,;:|') AS v FROM name) WHERE length(v) >= 4 AND NOT regexp_matches(v, {_PATTERN["THIRD_PARTIES"]}) GROUP BY ALL),
+ names AS (SELECT page_id, string_agg(v, '|' ORDER BY i) AS names FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS r FROM name1) WHERE r <= 3 GROUP BY page_id),
+ mails AS (SELECT page_id, string_agg(v, '|' ORDER BY i) AS mails FROM (SELECT page_id, v, min(i) AS i FROM (SELECT page_id, unnest(regexp_extract_all(t, {_PATTERN["MAIL"]})) AS v, generate_subscripts(regexp_extract_all(t, {_PATTERN["MAIL"]}), 1) AS i FROM whole) GROUP BY ALL) GROUP BY page_id)
+SELECT page_id, named, coalesce(names, '') AS names, coalesce(ids, '') AS ids, coalesce(addresses, '') AS addresses, coalesce(mails, '') AS mails, sha256(lower(replace(t, chr(10), ' '))) AS h
+ FROM whole LEFT JOIN names USING (page_id) LEFT JOIN ids USING (page_id) LEFT JOIN addr3 USING (page_id) LEFT JOIN mails USING (page_id)""")
+def legal_page_signals(spark, sf):
+    found = L.legal_pages(imprints(spark, sf), "html", "url")
+    listed = {"names": "entity_names", "ids": "registration_ids", "addresses": "addresses", "mails": "emails"}
+    return found.select("page_id", F.col("operator_identity_page").alias("named"), *[F.array_join(f, "|").alias(k) for k, f in listed.items()], F.col("normalized_text_hash").alias("h"))

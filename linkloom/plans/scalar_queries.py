@@ -76,7 +76,7 @@ def ips_in_text(spark, sf):
 
 
 @query(r"""WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\+\d[\d ().-]{6,18}\d'), lambda x: '+' || regexp_replace(x, '\D', '', 'g')) AS l FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: length(x) BETWEEN 8 AND 16 AND NOT regexp_matches(x, '0{7}|1{7}|2{7}|3{7}|4{7}|5{7}|6{7}|7{7}|8{7}|9{7}|01234567|12345678|23456789|98765432|87654321|76543210') AND NOT regexp_matches(x, '^\+1?\d{3}55501\d{2}$')))), ',') AS phones FROM p""")
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: length(x) BETWEEN 8 AND 16 AND length(replace(x[2:], x[2], '')) > 0 AND strpos(repeat('0123456789', 3), x[2:]) = 0 AND strpos(repeat('9876543210', 3), x[2:]) = 0 AND NOT regexp_matches(x, '55501\d\d|^\+97[89]\d{10}$')))), ',') AS phones FROM p""")
 def phones_in_text(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", F.array_join(X.phones_in(F.col("text")), ",").alias("phones"))
 
