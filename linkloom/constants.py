@@ -121,6 +121,8 @@ FREQUENCY_RULES = {
     "tls": (10, 60), "tls_ct": (8, 40), "ssh": (4, 20), "identity": (5, 25), "tracking": (6, 30), "content": (4, 20), "infrastructure": (3, 12), "legal": (5, 25), "policy": (5, 24), "email": (5, 24), "social": (4, 18),
     "nameserver": (3, 10), "dns": (4, 16), "generic": (4, 16),
 }
+# Owners of a value or label beyond which it says nothing of two of them.
+MOST_OWNERS = 500
 # Weight of a value shared at a document path.
 PATH_WEIGHTS = {
     "tls_certs.probes[*].fingerprint_sha256": 100, "ssh_host_keys.probes[*].fingerprint_sha256": 90, "tls_certs.probes[*].cn": 40, "non_cf_ips": 50, "censys.hits[*].cert_fingerprint_sha256": 55, "dns.A": 25, "dns.AAAA": 25,

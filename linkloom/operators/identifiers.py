@@ -44,8 +44,12 @@ def shared_points(identifiers: DataFrame, freq: DataFrame, timing: DataFrame | N
     rows = identifiers.select("domain", "type", "tier", "category", "value").distinct().join(kept, ["type", "value"])
     x, y = rows.alias("x"), rows.select(F.col("domain").alias("b"), "type", "value").alias("y")
     shared = x.join(y, ["type", "value"]).where("domain < b").select(F.col("domain").alias("a"), "b", "tier", "category", identifier_score(F.col("tier"), F.col("category"), F.col("multiplier")).alias("points"))
-    if timing is None:
-        return shared
+    return shared if timing is None else with_timing(shared, timing)
+
+
+def with_timing(shared: DataFrame, timing: DataFrame) -> DataFrame:
+    """Evidence of pairs, with certificates issued close together as further pieces
+    of it. shared: of shared_points(); timing: of issuance_timing()."""
     near = F.col("within") == "24h"
     tier, tls_ct = F.when(near, "tier_3").otherwise("tier_4"), F.lit("tls_ct")
     points = identifier_score(tier, tls_ct, F.lit(1.0), F.when(near, 6).otherwise(2))
@@ -62,25 +66,39 @@ def tier_sums(points: DataFrame) -> DataFrame:
 def compare(identifiers: DataFrame, freq: DataFrame, timing: DataFrame | None = None) -> DataFrame:
     """Pairs of domains with what they share: the sum of all points, with bonuses
     for different kinds and tiers, 100 at most."""
-    shared = shared_points(identifiers, freq, timing)
-    pairs = shared.groupBy("a", "b").agg(F.sum("points").alias("total"), F.countDistinct("tier", "category").alias("kinds"), F.countDistinct("tier").alias("tiers"), F.count(F.lit(1)).alias("n_shared"))
+    return compared(shared_points(identifiers, freq, timing))
+
+
+def compared(points: DataFrame) -> DataFrame:
+    """compare() from the evidence of pairs, with or without timing."""
+    pairs = points.groupBy("a", "b").agg(F.sum("points").alias("total"), F.countDistinct("tier", "category").alias("kinds"), F.countDistinct("tier").alias("tiers"), F.count(F.lit(1)).alias("n_shared"))
     score = F.least(F.lit(100.0), F.col("total") + 4 * (F.col("kinds") - 1) + 6 * (F.col("tiers") - 1))
     return pairs.select("a", "b", "n_shared", F.round(score, 2).alias("score")).withColumn("label", score_label(F.col("score")))
 
 
-def issuance_timing(certs: DataFrame, day_limit: int = 7) -> DataFrame:
+def sharing(points: DataFrame) -> DataFrame:
+    """a, b: the pairs that share an identifier. points: of shared_points()."""
+    return points.select("a", "b").distinct()
+
+
+def issuance_timing(certs: DataFrame, pairs: DataFrame, day_limit: int = 7) -> DataFrame:
     """Pairs of domains with certificates of one issuer issued close together
     (not at once): the closest pair per two domains and issuer, of those within
     a day and of those further apart each.
 
-    certs: domain, issuer, issued (timestamp). Certificates meet by bucket and
-    neighbouring bucket of day_limit days, so pairs stay bounded in time."""
+    certs: domain, issuer, issued (timestamp); pairs: a, b, that are asked for, such
+    as those of sharing(). Two customers of a large issuer are near each other all
+    the time, so timing says something of a pair that is known and is not looked
+    for in all pairs: rows grow with the pairs and the certificates of each domain,
+    not with the customers of an issuer. Certificates meet by domain, issuer and
+    bucket or neighbouring bucket of day_limit days. Nulls meet nothing."""
     width = day_limit * 86_400
     t = F.unix_timestamp("issued")
-    left = certs.select(F.col("domain").alias("a"), "issuer", t.alias("ta"), F.floor(t / width).alias("bucket"))
-    right = certs.select(F.col("domain").alias("b"), "issuer", t.alias("tb"), F.explode(F.array(F.floor(t / width) - 1, F.floor(t / width), F.floor(t / width) + 1)).alias("bucket"))
+    left = certs.select(F.col("domain").alias("a"), "issuer", t.alias("ta"), F.floor(t / width).alias("bucket")).distinct()
+    right = certs.select(F.col("domain").alias("b"), "issuer", t.alias("tb"), F.explode(F.array(F.floor(t / width) - 1, F.floor(t / width), F.floor(t / width) + 1)).alias("bucket")).distinct()
     gap = F.abs(F.col("ta") - F.col("tb"))
-    near = left.join(right, ["issuer", "bucket"]).where((F.col("a") < F.col("b")) & (gap > 0) & (gap <= width))
+    asked = pairs.select("a", "b").where("a <> b").distinct()
+    near = left.join(asked, "a").join(right, ["b", "issuer", "bucket"]).where((gap > 0) & (gap <= width))
     within = F.when(gap <= 86_400, "24h").otherwise(f"{day_limit}d")
     return near.groupBy("a", "b", "issuer", within.alias("within")).agg(F.min(gap).alias("seconds"))
 
@@ -88,12 +106,23 @@ def issuance_timing(certs: DataFrame, day_limit: int = 7) -> DataFrame:
 # ---- document pairs ----
 
 
-def path_matches(facts: DataFrame, most: int | None = None) -> DataFrame:
+def _told(facts: DataFrame) -> DataFrame:
+    return facts.where("value IS NOT NULL AND trim(value) NOT IN ('', '0', 'false', 'none', 'null')").distinct()
+
+
+def common_values(facts: DataFrame, most: int = K.MOST_OWNERS) -> DataFrame:
+    """What path_matches() leaves out as too common: path, value and the number of
+    documents n. facts: doc, path, value."""
+    return _told(facts).groupBy("path", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def path_matches(facts: DataFrame, most: int | None = K.MOST_OWNERS) -> DataFrame:
     """Values that two documents share at a path: a, b, path, n_values.
 
-    facts: doc, path, value. Meets on (path, value); empty values do not count;
-    with most, values of more documents than that are left out as noise."""
-    rows = facts.where("value IS NOT NULL AND trim(value) NOT IN ('', '0', 'false', 'none', 'null')").distinct()
+    facts: doc, path, value. Meets on (path, value); empty values do not count.
+    Values of more documents than most say nothing of a pair and go before the
+    join, which bounds its groups; common_values() lists them. None: all stay."""
+    rows = _told(facts)
     owners = rows.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     owners = owners if most is None else owners.where(F.col("n") <= most)
     rows = rows.join(owners.select("path", "value"), ["path", "value"])
@@ -128,10 +157,20 @@ def freshness_multiplier(quality: Column) -> Column:
     return F.when(quality == "historical", 0.3).when(quality == "mixed", 0.7).otherwise(1.0)
 
 
-def label_overlap(labels: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
+def common_labels(labels: DataFrame, most: int = K.MOST_OWNERS) -> DataFrame:
+    """What label_overlap() leaves out as too common: label and its owners n."""
+    return labels.where("label IS NOT NULL").select("owner", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def label_overlap(labels: DataFrame, common: tuple[str, ...] = (), most: int | None = K.MOST_OWNERS) -> DataFrame:
     """Distinctive labels that two owners share: their number and weight.
-    labels: owner, label."""
-    rows = labels.where(~F.col("label").isin(*common) if common else F.lit(True)).distinct()
+
+    labels: owner, label. Labels of more owners than most are not distinctive and
+    go before the join, which bounds its groups; common_labels() lists them.
+    None: all stay."""
+    rows = labels.where(~F.col("label").isin(*common) if common else F.lit(True)).select("owner", "label").distinct()
+    owners = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    rows = rows.join((owners if most is None else owners.where(F.col("n") <= most)).select("label"), "label")
     pairs = rows.join(rows.select(F.col("owner").alias("b"), "label"), "label").where("owner < b")
     counted = pairs.groupBy(F.col("owner").alias("a"), "b").agg(F.count(F.lit(1)).alias("n_labels"))
     return counted.withColumn("weight", F.least(F.lit(K.LABEL_CAP), F.col("n_labels") * K.LABEL_WEIGHT).cast("int"))

@@ -38,33 +38,40 @@ def identifier_frequency(spark, sf):
     return I.frequency(identifiers(spark, sf)).withColumn("multiplier", F.round("multiplier", 3))
 
 
-_TIMING = """ct AS (SELECT CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS issuer, epoch(o_orderdate + to_seconds(o_orderkey % 86400)) AS t FROM orders),
- tm AS (SELECT x.domain AS a, y.domain AS b, x.issuer, CASE WHEN abs(x.t - y.t) <= 86400 THEN '24h' ELSE '7d' END AS within, min(CAST(abs(x.t - y.t) AS BIGINT)) AS seconds FROM ct x JOIN ct y ON x.issuer = y.issuer AND x.domain < y.domain AND y.t BETWEEN x.t - 604800 AND x.t + 604800 AND x.t <> y.t GROUP BY 1, 2, 3, 4)"""
+_TIMING = """sp AS (SELECT x.domain AS a, y.domain AS b, x.tier, x.category, least(100, greatest(0, round_even(least(100, greatest(1, CASE x.tier WHEN 'tier_1' THEN 74 WHEN 'tier_2' THEN 46 ELSE 28 END + CASE x.category WHEN 'tls' THEN 18 WHEN 'tracking' THEN 12 ELSE 4 END)) * multiplier, 0))) AS points
+   FROM ids x JOIN ids y ON x.type = y.type AND x.value = y.value AND x.domain < y.domain JOIN fq ON fq.type = x.type AND fq.value = x.value WHERE status <> 'excluded'),
+ ct AS (SELECT CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS issuer, epoch(o_orderdate + to_seconds(o_orderkey % 86400)) AS t FROM orders),
+ tm AS (SELECT a, b, x.issuer, CASE WHEN abs(x.t - y.t) <= 86400 THEN '24h' ELSE '7d' END AS within, min(CAST(abs(x.t - y.t) AS BIGINT)) AS seconds FROM (SELECT DISTINCT a, b FROM sp) JOIN ct x ON x.domain = a JOIN ct y ON y.domain = b AND x.issuer = y.issuer AND y.t BETWEEN x.t - 604800 AND x.t + 604800 AND x.t <> y.t GROUP BY 1, 2, 3, 4)"""
 
 
-def timing(spark, sf):
+def certificates(spark, sf):
     """Orders as certificates: the customer's, issued by the priority."""
     o = D.table(spark, sf, "orders")
     issued = (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400).cast("timestamp")
-    return I.issuance_timing(o.select(F.col("o_custkey").cast("string").alias("domain"), F.col("o_orderpriority").alias("issuer"), issued.alias("issued")))
+    return o.select(F.col("o_custkey").cast("string").alias("domain"), F.col("o_orderpriority").alias("issuer"), issued.alias("issued"))
 
 
-_COMPARE = f"""{_IDS}, {_TIMING}, pts AS (SELECT x.domain AS a, y.domain AS b, x.tier, x.category, least(100, greatest(0, round_even(least(100, greatest(1, CASE x.tier WHEN 'tier_1' THEN 74 WHEN 'tier_2' THEN 46 ELSE 28 END + CASE x.category WHEN 'tls' THEN 18 WHEN 'tracking' THEN 12 ELSE 4 END)) * multiplier, 0))) AS points
-   FROM ids x JOIN ids y ON x.type = y.type AND x.value = y.value AND x.domain < y.domain JOIN fq ON fq.type = x.type AND fq.value = x.value WHERE status <> 'excluded'
+def shared_and_timing(spark, sf):
+    """What customers share, written once, and when the pairs that share
+    something had certificates issued."""
+    found = written(identifiers(spark, sf), "identifiers")
+    shared = written(I.shared_points(found, I.frequency(found)), "shared")
+    return shared, I.issuance_timing(certificates(spark, sf), I.sharing(shared))
+
+
+_COMPARE = f"""{_IDS}, {_TIMING}, pts AS (SELECT * FROM sp
    UNION ALL SELECT a, b, CASE within WHEN '24h' THEN 'tier_3' ELSE 'tier_4' END, 'tls_ct', CASE within WHEN '24h' THEN 48.0::DOUBLE ELSE 30.0::DOUBLE END FROM tm),
  cp AS (SELECT a, b, n_shared, round(least(100.0::DOUBLE, total + 4 * (kinds - 1) + 6 * (tiers - 1)), 2) AS score FROM (SELECT a, b, sum(points) AS total, count(DISTINCT (tier, category)) AS kinds, count(DISTINCT tier) AS tiers, count(*) AS n_shared FROM pts GROUP BY a, b))"""
 
 
 @query(f"WITH {_COMPARE} SELECT a, b, n_shared, score, CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'very_low' END AS label FROM cp")
 def domain_compare(spark, sf):
-    found = identifiers(spark, sf)
-    return I.compare(found, I.frequency(found), timing(spark, sf))
+    return I.compared(I.with_timing(*shared_and_timing(spark, sf)))
 
 
 @query(f"WITH {_COMPARE} SELECT a, b, tier, score, n_evidence, CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'very_low' END AS label FROM (SELECT a, b, tier, round(least(100.0::DOUBLE, sum(points)), 2) AS score, count(*) AS n_evidence FROM pts GROUP BY a, b, tier)")
 def domain_compare_tiers(spark, sf):
-    found = identifiers(spark, sf)
-    return I.tier_sums(I.shared_points(found, I.frequency(found), timing(spark, sf)))
+    return I.tier_sums(I.with_timing(*shared_and_timing(spark, sf)))
 
 
 _TRAVERSE = f"""{_COMPARE}, ed AS (SELECT a, b FROM cp WHERE score >= 20 UNION ALL SELECT b, a FROM cp WHERE score >= 20), s0 AS (SELECT min(a) AS node, 0 AS h FROM ed),
@@ -73,15 +80,14 @@ _TRAVERSE = f"""{_COMPARE}, ed AS (SELECT a, b FROM cp WHERE score >= 20 UNION A
 
 @query(f"WITH {_TRAVERSE} SELECT node, h AS hop_distance FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2)")
 def traverse_depth2(spark, sf):
-    found = identifiers(spark, sf)
-    pairs = written(I.compare(found, I.frequency(found), timing(spark, sf)).where("score >= 20").select("a", "b", "score"), "pairs")
+    pairs = written(I.compared(I.with_timing(*shared_and_timing(spark, sf))).where("score >= 20").select("a", "b", "score"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     return C.traverse(both, both.agg(F.min("a").alias("node")))
 
 
-@query(f"WITH {_TIMING} SELECT a, b, issuer, within, seconds FROM tm")
+@query(f"WITH {_IDS}, {_TIMING} SELECT a, b, issuer, within, seconds FROM tm")
 def issuance_timing(spark, sf):
-    return timing(spark, sf)
+    return shared_and_timing(spark, sf)[1]
 
 
 # ---- pairs of documents: orders as documents, their columns as paths ----
@@ -98,7 +104,7 @@ def facts(spark, sf):
     return li.select(doc.alias("doc"), F.explode(found).alias("f")).select("doc", "f.*")
 
 
-_FACTS = """ft AS (SELECT DISTINCT doc, path, value FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc, unnest(['dns.A', 'dns.NS', 'other.path']) AS path, unnest([CAST(l_partkey AS VARCHAR), l_suppkey || '|' || strftime(l_shipdate, '%Y-%m'), l_partkey || '|' || l_suppkey]) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE value NOT IN ('', '0', 'false', 'none', 'null')),
+_FACTS = f"""ft AS (SELECT * FROM (SELECT DISTINCT doc, path, value FROM (SELECT CAST(l_orderkey AS VARCHAR) AS doc, unnest(['dns.A', 'dns.NS', 'other.path']) AS path, unnest([CAST(l_partkey AS VARCHAR), l_suppkey || '|' || strftime(l_shipdate, '%Y-%m'), l_partkey || '|' || l_suppkey]) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE value NOT IN ('', '0', 'false', 'none', 'null')) QUALIFY count(*) OVER (PARTITION BY path, value) <= {K.MOST_OWNERS}),
  pm AS (SELECT x.doc AS a, y.doc AS b, x.path, count(*) AS n_values FROM ft x JOIN ft y ON x.path = y.path AND x.value = y.value AND x.doc < y.doc GROUP BY ALL)"""
 
 
@@ -169,7 +175,7 @@ def pair_compare(spark, sf):
     )
 
 
-@query("WITH l AS (SELECT DISTINCT o_custkey AS owner, l_partkey AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT x.owner AS a, y.owner AS b, count(*) AS n_labels FROM l x JOIN l y ON x.label = y.label AND x.owner < y.owner GROUP BY 1, 2) SELECT a, b, n_labels, CAST(least(40, 8 * n_labels) AS INTEGER) AS weight FROM p")
+@query(f"WITH l AS (SELECT * FROM (SELECT DISTINCT o_custkey AS owner, l_partkey AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey) QUALIFY count(*) OVER (PARTITION BY label) <= {K.MOST_OWNERS}), p AS (SELECT x.owner AS a, y.owner AS b, count(*) AS n_labels FROM l x JOIN l y ON x.label = y.label AND x.owner < y.owner GROUP BY 1, 2) SELECT a, b, n_labels, CAST(least(40, 8 * n_labels) AS INTEGER) AS weight FROM p")
 def label_overlap(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"))
     return I.label_overlap(D.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("owner", F.col("l_partkey").alias("label")))
