@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dns as N
@@ -10,7 +13,9 @@ from ..operators import document_walk as W
 from ..operators import identifiers as Ids
 from ..operators import projection as P
 from ..sources import documents as Docs
+from ..sources import finalize as Fin
 from ..sources import targets as T
+from ..storage import new_path
 from . import driver_graph as D
 from .registry import query
 
@@ -98,6 +103,45 @@ def document_certificates(spark, sf):
     return P.child_tables(P.parsed(order_documents(spark, sf)))["tls_certs"].select("run", "sha256", "ip").distinct()
 
 
+def registered_documents(spark, sf):
+    """A document for each order: what is registered, seen in the past and found
+    by scans for the host o<order>.c<customer>.test."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    day, at = F.col("o_orderdate").cast("string"), lambda first: F.concat(F.lit(first), (F.col("o_custkey") % 200).cast("string"))
+    hit = lambda ip, **more: F.struct(F.array(F.struct(ip.alias("ip"), *[v.alias(k) for k, v in more.items()])).alias("hits"))
+    body = F.struct(
+        F.concat(F.lit("o"), key, F.lit(".c"), cust, F.lit(".test")).alias("input"), F.lit("domain").alias("type"), day.alias("timestamp"),
+        F.struct(F.array(F.struct(F.lit("A").alias("rrtype"), at("8.8.1.").alias("rdata"), day.alias("first_seen"), day.alias("last_seen"))).alias("records")).alias("historical_dns"),
+        F.array(F.struct(at("9.9.9.").alias("ip"))).alias("spf_origins"),
+        F.struct(F.lit("Registrar").alias("registrar"), F.array(F.concat(F.lit(" Owner"), cust, F.lit("@x.test"))).alias("emails"), F.array(F.concat(F.lit("Name "), cust)).alias("name"), F.array(F.lit("NS1.own.test."), F.lit("ns1.own.test")).alias("nameservers")).alias("whois"),
+        F.struct(F.md5(cust).alias("favicon_md5"), F.lit("en").alias("html_lang"), F.col("o_orderpriority").alias("cms_generator")).alias("page_metadata"), F.struct(F.lit("v=DMARC1").alias("dmarc")).alias("email_security"),
+        F.struct(hit(at("7.7.7."), cn=F.lit("x.test"), sha256=F.sha2(key, 256)).alias("scan"), hit(at("6.6.6."), port=F.lit(8443), asn=F.lit("AS64500"), org=F.col("o_clerk")).alias("censys")).alias("origin_candidates"),
+    )
+    clerk = F.concat(F.lit("Clerk#"), (F.col("o_orderkey") % 37).cast("string"))
+    return D.table(spark, sf, "orders").withColumn("o_clerk", clerk).select(key.alias("run"), F.to_json(body).alias("json"))
+
+
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS run, CAST(o_custkey AS VARCHAR) AS c, CAST(o_custkey % 200 AS VARCHAR) AS i, 'Clerk#' || (o_orderkey % 37) AS clerk, o_orderpriority AS p FROM orders)
+ SELECT 'scan_hits' AS fact, run, 'gcp|7.7.7.' || i || '|443|' || sha256(run) AS value FROM o UNION ALL SELECT 'provider_hits', run, 'censys|6.6.6.' || i || '|8443|64500|' || clerk FROM o
+ UNION ALL SELECT 'historical_dns', run, 'A|8.8.1.' || i FROM o UNION ALL SELECT 'spf_origins', run, '9.9.9.' || i FROM o UNION ALL SELECT 'registrant_emails', run, 'owner' || c || '@x.test' FROM o
+ UNION ALL SELECT 'registrant_names', run, 'Name ' || c FROM o UNION ALL SELECT 'nameservers', run, 'ns1.own.test' FROM o UNION ALL SELECT 'favicons', run, md5(c) FROM o UNION ALL SELECT 'page_metadata', run, 'en|' || p || '|v=DMARC1' FROM o
+ UNION ALL SELECT 'discovered_targets', run, unnest(['historical_dns|8.8.1.' || i || '|8', 'whois_nameserver|ns1.own.test|3', 'spf|9.9.9.' || i || '|4', 'provider_hit|6.6.6.' || i || '|8', 'scan_hit|7.7.7.' || i || '|9']) FROM o""")
+def finalized_documents(spark, sf):
+    """All documents in two batches: the first delivered twice, and some runs of
+    it again in the second, which then counts for them."""
+    store = Fin.DocumentStore(spark, new_path(spark, "documents"))
+    docs = registered_documents(spark, sf)
+    store.save(docs.where("CAST(run AS BIGINT) % 3 < 2"), 0)
+    store.save(docs.where("CAST(run AS BIGINT) % 3 < 2"), 0)
+    store.save(docs.where("CAST(run AS BIGINT) % 3 > 0"), 1)
+    shown = {
+        "scan_hits": ("scan_type", "ip", "port", "sha256"), "provider_hits": ("provider", "ip", "port", "asn", "org"), "historical_dns": ("rrtype", "rdata"), "spf_origins": ("ip",), "registrant_emails": ("email",), "registrant_names": ("name",),
+        "nameservers": ("nameserver",), "favicons": ("md5",), "page_metadata": ("html_lang", "cms_generator", "dmarc"), "discovered_targets": ("relation", "target", "score"),
+    }
+    facts = [store.read(t).select(F.lit(t).alias("fact"), "run", F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("value")) for t, cols in shown.items()]
+    return reduce(DataFrame.unionByName, facts)
+
+
 def nested_documents(spark, sf):
     """order_documents, one or more for a customer, with more branches: handles,
     wallets, app links inside lists of objects, a follow-up, legal pages."""
