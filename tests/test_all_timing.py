@@ -75,3 +75,10 @@ def test_domain_compare_has_pairs_of_timing_alone(spark, sf, close):
     got = {(r.a, r.b): r for r in registry.QUERIES["domain_compare"](spark, sf).collect()}
     assert close and set(close) <= set(got)
     assert all(got[pair].n_shared >= len(gaps) and got[pair].score >= 30 for pair, gaps in close.items())
+
+
+def test_tiers_have_pairs_of_timing_alone(spark, sf, close):
+    got = {(r.a, r.b, r.tier): r.n_evidence for r in registry.QUERIES["domain_compare_tiers"](spark, sf).collect()}
+    for within, tier in (("24h", "tier_3"), ("7d", "tier_4")):
+        want = {(*pair, tier): n for pair, gaps in close.items() if (n := sum(w == within for _, w in gaps))}
+        assert want and all(got.get(key, 0) >= n for key, n in want.items())
