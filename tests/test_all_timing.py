@@ -82,3 +82,13 @@ def test_tiers_have_pairs_of_timing_alone(spark, sf, close):
     for within, tier in (("24h", "tier_3"), ("7d", "tier_4")):
         want = {(*pair, tier): n for pair, gaps in close.items() if (n := sum(w == within for _, w in gaps))}
         assert want and all(got.get(key, 0) >= n for key, n in want.items())
+
+
+def test_traversal_goes_over_pairs_of_timing_alone(spark, sf, close):
+    got = {r.node: r.hop_distance for r in registry.QUERIES["traverse_depth2"](spark, sf).collect()}
+    seed, near = next(n for n, h in got.items() if h == 0), {}
+    for a, b in close:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert near[seed] and all(got.get(n) == 1 for n in near[seed])
+    assert {n for one in near[seed] for n in near[one]} <= set(got)
