@@ -92,3 +92,8 @@ def test_traversal_goes_over_pairs_of_timing_alone(spark, sf, close):
         near.setdefault(b, set()).add(a)
     assert near[seed] and all(got.get(n) == 1 for n in near[seed])
     assert {n for one in near[seed] for n in near[one]} <= set(got)
+
+
+def test_timing_query_has_all_pairs(spark, sf, close):
+    got = {(r.a, r.b, r.issuer, r.within): r.seconds for r in registry.QUERIES["issuance_timing"](spark, sf).collect()}
+    assert got == {(*pair, *key): gap for pair, gaps in close.items() for key, gap in gaps.items()}
