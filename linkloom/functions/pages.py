@@ -8,6 +8,7 @@ at its first > or <, in quotes or not.
 from __future__ import annotations
 
 import html.entities
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,10 +196,10 @@ def declared_phones(markup: Column, scripts: Column, meta: Column) -> Column:
     return F.array_sort(_distinct(F.transform(F.concat(links, data, micro, inner, named), lambda p: X.normal_phone(p))))
 
 
-def homepages(pages: DataFrame, markup: str, url: str) -> DataFrame:
+def homepages(pages: DataFrame, markup: str, url: str, decode_title: Callable[[Column], Column] = unescape) -> DataFrame:
     """pages with all that each home page says, in the columns of PAGE_FIELDS.
     Null and empty pages: empty fields. Wallets need checksums and are read apart
-    (wallets.wallets_in). Each step uses the columns of the one before, so that
+    (wallets.wallets_in). decode_title: how references in titles are read. Each step uses the columns of the one before, so that
     nothing is computed twice."""
     names = [c for c in pages.columns if c not in PAGE_FIELDS]
     none = F.array().cast(_LIST)
@@ -234,7 +235,7 @@ def homepages(pages: DataFrame, markup: str, url: str) -> DataFrame:
     proofs = F.flatten(F.transform(F.map_entries("meta_tags"), lambda e: F.transform(e["value"], lambda v: F.struct(F.element_at(known, e["key"]).alias("k"), v.alias("v")))))
     canonical = F.filter("__links", lambda x: has(x, "canonical"))
     fields = {
-        "title": F.nullif(X.normal_space(unescape(let(F.split(F.col("__bare"), "(?i)</title", 2), lambda p: F.when(F.size(p) > 1, F.regexp_extract(F.element_at(p, 1), r"(?is)<title(?=[\s>])[^<>]*>(.*)$", 1))))), F.lit("")), **{k: F.col(f"__ids.{k}") for k in TAG_IDS},
+        "title": F.nullif(X.normal_space(decode_title(let(F.split(F.col("__bare"), "(?i)</title", 2), lambda p: F.when(F.size(p) > 1, F.regexp_extract(F.element_at(p, 1), r"(?is)<title(?=[\s>])[^<>]*>(.*)$", 1))))), F.lit("")), **{k: F.col(f"__ids.{k}") for k in TAG_IDS},
         "html_lang": F.lower(F.get(F.transform(tags(F.col("__bare"), "html"), lambda t: attribute(t, "lang")), F.lit(0))), "cms_generator": first("generator"), "author": F.get("authors", F.lit(0)), "authors": F.col("authors"),
         "fb_app_id": first("fb:app_id"), "twitter_site": first("twitter:site"), "twitter_creator": first("twitter:creator"), "social_links": _grouped(pair("l")),
         "social_handles": _grouped(F.concat(pair("v"), named("twitter_x", F.concat(spelt("twitter:site"), spelt("twitter:creator"))), named("telegram", channel))),

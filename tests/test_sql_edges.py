@@ -43,3 +43,7 @@ CUT_PAGES = """SELECT page_id, url, replace(replace(html, '</title>', CASE page_
 
 def test_references_in_page_text(spark, tables):
     same(spark, tables(pages=CUT_PAGES), "html_text_hash")
+
+
+def test_references_in_titles(spark, tables):
+    same(spark, tables(pages=CUT_PAGES), "homepage_fields")
