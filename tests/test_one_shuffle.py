@@ -55,3 +55,10 @@ def test_pairs_of_documents_are_not_joined(spark):
     found = I.path_matches(facts)
     assert shuffles(found.groupBy("a", "b").agg(F.count(F.lit(1)))) == (2, 0)
     assert sorted(found.collect()) == sorted(I.path_matches(facts, None).collect()) != []
+
+
+def test_line_items_are_dealt_before_they_become_rows(spark, sf):
+    from linkloom.plans import graph_queries
+
+    plan = graph_queries.observations(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
