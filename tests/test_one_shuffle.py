@@ -62,3 +62,10 @@ def test_line_items_are_dealt_before_they_become_rows(spark, sf):
 
     plan = graph_queries.observations(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate")]
+
+
+def test_documents_are_put_together_from_plain_lines(spark, sf):
+    from linkloom.plans import source_queries
+
+    plan = source_queries.order_documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan[plan.index("Exchange") :]
